@@ -17,7 +17,7 @@ WITH RECURSIVE w AS (
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws
-    ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS sh
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS sh
   FROM w
 ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 p AS (

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from .q_minhash import op9_minhash_dedup, OP9_SQL
+from .q_decontaminate import op5_decontaminate
+from .q_minhash import OP9_SQL, op9_minhash_dedup
+from .q_passages import op10_substring_dedup
 
-QUERIES = {"op9_minhash_dedup": op9_minhash_dedup}
+QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 ORACLES = {"op9_minhash_dedup": OP9_SQL}

@@ -19,6 +19,8 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _U = np.uint64
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
+IS_SPACE_OR_MARK = IS_SPACE.copy()
+IS_SPACE_OR_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[0x41:0x5B] += 0x20
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -99,13 +101,13 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: n
     return mix(out)
 
 
-def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_ranges(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words; text boundaries end words."""
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     starts, ends = [], []
     open_word = False
     for k in range(0, len(data), SLICE_BYTES):
-        part = ~IS_SPACE[data[k : k + SLICE_BYTES]]
+        part = ~breaks[data[k : k + SLICE_BYTES]]
         before = np.empty(len(part), dtype=bool)
         before[0] = open_word
         before[1:] = part[:-1]
@@ -122,10 +124,10 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([none, *starts]), np.concatenate([none, *ends])
 
 
-def scan_words(column, lower: bool = True) -> Words:
-    """All words of a string column, hashed; A-Z fold to a-z unless told otherwise."""
+def scan_words(column, lower: bool = True, breaks: np.ndarray = IS_SPACE) -> Words:
+    """All words of a string column, hashed; A-Z fold to a-z unless told otherwise; `breaks` marks the bytes between words."""
     data, offsets = buffers(column)
-    starts, ends = word_ranges(data, offsets)
+    starts, ends = word_ranges(data, offsets, breaks)
     hashes = range_hashes(data, starts, ends, ASCII_LOWER if lower else None)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
