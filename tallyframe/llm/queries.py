@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .q_chat import OP7_SQL, op7_chat_format
 from .q_decontaminate import op5_decontaminate
 from .q_minhash import OP9_SQL, op9_minhash_dedup
 from .q_passages import op10_substring_dedup
+from .q_pieces import op6_sentencepiece
+from .q_urls import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_chat_format": op7_chat_format,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op9_minhash_dedup": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_minhash_dedup": OP9_SQL}
