@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         components = cut(connected_components(links))
         rest = cut(_several(rest, components))
         if not rest.isEmpty():
-            links = links.unionByName(_in_blocks(rest, sets, num, den))
+            links = links.unionByName(_in_blocks(rest, components, sets, num, den))
             components = cut(connected_components(links))
 
     group = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -212,14 +212,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _in_blocks(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between components inside a bucket: members outside its largest component against all its members, in blocks of about BLOCK by BLOCK rows."""
+def _in_blocks(rest: DataFrame, components: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between components that share a bucket, in blocks of about BLOCK by BLOCK members.
+
+    In each bucket one component has the most members.  The others' members are queries against all members of that
+    component, once however many buckets they share, and against each other inside the bucket.
+    """
     per = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
-    shape = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("m"))
-    shape = shape.select("key", "home", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("qb"))
-    placed = rest.join(shape, "key")
-    blocks = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    home = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"))
+    others = cut(rest.join(home, "key").where("component <> home"))
+
+    asked = others.select(F.col("home").alias("key"), "id", "component").distinct()
+    asking = asked.groupBy("key").agg(F.count("*").alias("m"))
+    held = asking.join(components.select(F.col("component").alias("key"), "node"), "key", "left").select("key", F.coalesce("node", "key").alias("id"), F.col("key").alias("component"))
+    shape = asking.join(held.groupBy("key").agg(F.count("*").alias("n")), "key")
+    links = _compared(held, asked, shape, sets, num, den)
+
+    inside = others.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return links.unionByName(_compared(others, others, inside, sets, num, den)).distinct()
+
+
+def _compared(members: DataFrame, queries: DataFrame, shape: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between queries and members of a key (n members, m queries), every block of queries with every block of members."""
+    shape = shape.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("qb"))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    data = placed.select("key", "id", "component", own("nb").alias("b"), F.explode(blocks("qb")).alias("q"), F.lit(False).alias("query"))
-    queries = placed.where("component <> home").select("key", "id", "component", F.explode(blocks("nb")).alias("b"), own("qb").alias("q"), F.lit(True).alias("query"))
-    return data.unionByName(queries).join(sets, "id").groupBy("key", "b", "q").applyInArrow(_blocked(num, den), "u long, v long").distinct()
+    data = members.join(shape, "key").select("key", "id", "component", own("nb").alias("b"), blocks("qb").alias("q"), F.lit(False).alias("query"))
+    asking = queries.join(shape, "key").select("key", "id", "component", blocks("nb").alias("b"), own("qb").alias("q"), F.lit(True).alias("query"))
+    return data.unionByName(asking).join(sets, "id").groupBy("key", "b", "q").applyInArrow(_blocked(num, den), "u long, v long")
