@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .components import connected_components
-from .spark_io import cut
+from .spark_io import cut, free_name
 from .vectext import mix, scan_words, shingle_hashes, slices_of
 
 BINS, BANDS = 128, 32
@@ -212,6 +212,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """`docs`, all columns, with one document of each group of near-duplicates: the one of least id, once where its rows repeat it.
+
+    Rows with a null id stay.  Of different texts under one kept id, all stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col, size, num, den)
+    gone, seen = free_name(docs, "gone_id"), free_name(docs, "text_hash")
+    drop = groups.where("not kept").select(F.col(id_col).alias(gone)).distinct()
+    kept = docs.join(drop.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    again = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias(gone))
+    if again.isEmpty():
+        return kept
+    doubled = F.col(id_col).cast("long") == F.col(gone)
+    once = kept.join(again, doubled, "left_semi").withColumn(seen, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, seen]).drop(seen)
+    return kept.join(again, doubled, "left_anti").unionByName(once)
+
+
 def _in_blocks(rest: DataFrame, components: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """All links between components that share a bucket, in blocks of about BLOCK by BLOCK members.
 
