@@ -9,11 +9,13 @@ from .q_passages import op10_substring_dedup
 from .q_pieces import op6_sentencepiece
 from .q_quality import op3_quality_classifier
 from .q_quality_rules import op8_quality_rules
+from .q_token_files import op2_token_files
 from .q_toxicity import op4_toxicity
 from .q_urls import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_token_files": op2_token_files,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
