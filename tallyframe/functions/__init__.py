@@ -1,0 +1 @@
+"""Column functions: codes, scores, similarity, sites, pages and nested JSON."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import history_queries, scoring_queries
+
+_ALL = scoring_queries.QUERIES | history_queries.QUERIES
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
