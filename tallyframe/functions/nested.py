@@ -57,10 +57,14 @@ def contact_with_role(json, role: str, path: str = "$.contacts") -> Column:
     return full_name(first_where(F.from_json(field(json, path), CONTACTS), lambda c: F.coalesce(F.exists(c["personRoles"], lambda r: F.lower(r) == role.lower()), F.lit(False))))
 
 
+def _named(name: str):
+    return lambda item: item["name"] == name
+
+
 def ratings(json, path: str) -> dict[str, Column]:
     """A column for each key question."""
     listed = F.from_json(field(json, path), RATINGS)
-    return {"rating_" + q.lower().replace("-", "_"): first_where(listed, lambda r, q=q: r["name"] == q)["rating"] for q in KEY_QUESTIONS}
+    return {"rating_" + q.lower().replace("-", "_"): first_where(listed, _named(q))["rating"] for q in KEY_QUESTIONS}
 
 
 def active_directors(officers) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.codes import name_key, outward_code, registry_number
 from ..functions.scores import ladder
 from ..functions.similarity import token_set_similarity
@@ -41,13 +42,12 @@ def candidate_pairs(companies: DataFrame, providers: DataFrame, threshold: int =
     return scored.where(F.col("ratio") >= threshold).select("provider_id", "company_number", "place", "ratio")
 
 
-def consume(pairs: DataFrame, cut=None) -> DataFrame:
+def consume(pairs: DataFrame) -> DataFrame:
     """(provider_id, company_number, ratio): the pairs that result if providers choose one after the other by id.
 
-    `cut` materialises the remaining edges between rounds (checkpoint by default).  The provider of least id is settled in every
+    The remaining edges are checkpointed between rounds.  The provider of least id is settled in every
     round, and all whose companies no lesser provider wants, so rounds are few unless providers form a chain.
     """
-    cut = cut or (lambda df: df.checkpoint())
     left, taken = cut(pairs), None
     while not left.isEmpty():
         first = left.groupBy("company_number").agg(F.min("provider_id").alias("_first"))
@@ -58,11 +58,11 @@ def consume(pairs: DataFrame, cut=None) -> DataFrame:
     return pairs.select("provider_id", "company_number", "ratio").limit(0) if taken is None else taken
 
 
-def fuzzy_matches(companies: DataFrame, providers: DataFrame, direct: DataFrame, cut=None) -> DataFrame:
+def fuzzy_matches(companies: DataFrame, providers: DataFrame, direct: DataFrame) -> DataFrame:
     """Matches by name of what has no direct match; the stored score is the threshold."""
     free_c = companies.join(direct.select("company_number"), "company_number", "left_anti")
     free_p = providers.join(direct.select("provider_id"), "provider_id", "left_anti")
-    return consume(candidate_pairs(free_c, free_p), cut).select("company_number", "provider_id", F.lit(THRESHOLD).alias("total_score"), F.lit("auto_confirmed").alias("status"), F.col("ratio").alias("name_ratio"))
+    return consume(candidate_pairs(free_c, free_p)).select("company_number", "provider_id", F.lit(THRESHOLD).alias("total_score"), F.lit("auto_confirmed").alias("status"), F.col("ratio").alias("name_ratio"))
 
 
 def annotations(matches: DataFrame, companies: DataFrame, providers: DataFrame, previous: list[str]) -> DataFrame:

@@ -137,5 +137,5 @@ def options(df: DataFrame, column: str) -> DataFrame:
 
 def option_items(df: DataFrame, column: str, separator: str = "|") -> DataFrame:
     """Distinct trimmed items of a separated text in order."""
-    items = df.select(F.trim(F.explode(F.split(column, "\\" + separator))).alias(column))
+    items = df.select(F.explode(F.split(column, "\\" + separator)).alias(column)).select(F.trim(column).alias(column))
     return items.where(F.col(column) != "").distinct().orderBy(column)
