@@ -90,13 +90,8 @@ def repaired(spark: SparkSession, path: str, schema: str = STAGED_RESPONSE) -> D
     broken = worse.limit(5).collect()
     if broken:
         raise ValueError(f"malformed lines inside {[r.file for r in broken]}")
-    return spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-
-
-def staged_schema_kind(df: DataFrame, column: str = "raw_json") -> DataFrame:
-    from ..functions.nested import json_kind
-
-    return df.withColumn("kind", json_kind(column))
+    whole = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return whole.select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def zip_members(files: DataFrame, folder: str = "accounts/", endings: tuple[str, ...] = (".xhtml", ".html")) -> DataFrame:
