@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment on words.
 
 Pass 1 counts, over all documents, in how many each benchmark n-gram occurs.
-Of each run of WINDOW consecutive n-grams of an item, the rarest is a seed, so
-that a stretch of a few unedited words anywhere in an item has one, however
-often the item was copied.  Pass 2 finds the seeds in every document and aligns
+An item's n-grams are seeds unless they are common beside its others, which
+tells phrases of the language apart from the item's own words however often
+the item was copied; a few unedited words anywhere are enough.  Pass 2 finds the seeds in every document and aligns
 the words around them with the item.  Both passes are Arrow map stages without
 a shuffle of texts; the benchmark goes to the executors in slices of at most
 `slice_bytes`, so what is sent at once is bounded whatever the benchmark's size.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .vectext import IS_SPACE_OR_MARK, buffers, scan_words, shingle_hashes, slices_of
 
-SEED_WORDS, WINDOW = 3, 4
+SEED_WORDS, WINDOW, COMMON = 3, 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 20
 _U = np.uint64
@@ -64,15 +64,23 @@ class Items:
         return near[ok], at[ok]
 
 
-def rarest_per_window(counts: np.ndarray, item: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Which n-grams (in item order) are seeds: the rarest, on ties the least hash, of any WINDOW consecutive ones of an item."""
-    counts = np.argsort(np.argsort(np.array(list(zip(counts.tolist(), grams.tolist())), dtype="i8,u8"), kind="stable"), kind="stable")
+def seed_grams(counts: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which n-grams (in item order) are seeds.
+
+    Of the n-grams of an item that occur in documents at all, all but the common ones are: those of more than COMMON times
+    the median count.  Where WINDOW consecutive ones are common, the rarest of them (all on ties) is a seed too.
+    """
     keep = np.zeros(len(counts), dtype=bool)
     for i in np.unique(item):
-        rows = np.flatnonzero(item == i)
-        for k in range(max(1, len(rows) - WINDOW + 1)):
-            part = rows[k : k + WINDOW]
-            keep[part[np.argmin(counts[part])]] = True
+        rows = np.flatnonzero((item == i) & (counts > 0))
+        if len(rows):
+            own = counts[rows]
+            good = own <= COMMON * np.median(own)
+            for k in range(max(1, len(rows) - WINDOW + 1)):
+                part = slice(k, k + WINDOW)
+                if not good[part].any():
+                    good[part] |= own[part] == own[part].min()
+            keep[rows] = good
     return keep
 
 
@@ -185,7 +193,7 @@ class BenchmarkSeeds:
         for gram, n in counted.collect():  # at most one row for each n-gram of the slice
             counts[np.searchsorted(every.grams, every.grams[gram]) : np.searchsorted(every.grams, every.grams[gram], side="right")] = n
         back = np.lexsort((every.place, every.item))
-        self.items = Items.of(ids, texts, rarest_per_window(counts[back], every.item[back], every.grams[back]))
+        self.items = Items.of(ids, texts, seed_grams(counts[back], every.item[back]))
 
 
 def benchmark_slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int):

@@ -32,7 +32,8 @@ def split_url(url: str | None) -> tuple[str, str]:
         if k >= 0:
             rest = rest[:k]
     k = rest.find("/")
-    return (rest, "") if k < 0 else (rest[:k], rest[k:]) if rest[:k].translate(_FOLD) == rest[:k] else (rest[:k].translate(_FOLD), rest[k:])
+    host, path = (rest, "") if k < 0 else (rest[:k], rest[k:])
+    return host.translate(_FOLD), path
 
 
 class RuleTrie:
