@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import ship
-from .spark_io import cut, free_name
+from .spark_io import bounded_sample, cut, free_name
 from .vectext import buffers, mix, scan_words, shingle_hashes, slices_of
 
 TRAIN_ROWS, CUTS = 20_000, 12
@@ -168,7 +168,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     slim = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), _marked(host_col).alias("host"), _marked(path_col).alias("path"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     rows = cut(slim.mapInArrow(_features, "id long, host string, path string, features array<double>").join(known, "id", "left"))
-    sample = rows.where("label is not null").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("features", "label").collect()
+    sample = bounded_sample(rows.where("label is not null").select("id", "features", "label"), "id", train_rows).orderBy(F.xxhash64("id"), "id").limit(train_rows).collect()
     width = len(text_features(pa.array([""]))[0])
     classifier = Classifier.fit(np.array([r.features for r in sample]).reshape(-1, width), np.array([r.label for r in sample], dtype=float))
     scored = rows.withColumn("log_odds", _log_odds(classifier)("features")).drop("features")

@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own only where that is unset."""
-    jsc = spark.sparkContext._jsc
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if own:
-        if jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(own)
-        return own
-    if jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-    return jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["bounded_sample", "cut", "free_name", "load", "scratch", "shared_dir", "written"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,6 +27,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def bounded_sample(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """About 1.2 to 1 times `size` rows, all if there are no more: those whose id hash lies under a bound that is set from the row count.
+
+    Only these rows move, however many partitions hold the rest; the same ids are taken on every run.
+    """
+    n = rows.count()
+    if n <= size:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * size / n)))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -51,7 +45,3 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def as_id(column: str = "doc_id"):
-    return F.col(column).cast("long")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .spark_io import bounded_sample
 from .vectext import IS_SPACE, Words, buffers, range_hashes, slices_of, word_ranges
 
 DECAY = 0.7
@@ -280,7 +281,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= train_chars)
     rows = []
     for label in (0, 1):
-        part = known.where(F.col("label") == label).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
+        part = bounded_sample(known.where(F.col("label") == label).select("id").distinct(), "id", train_docs).orderBy(F.xxhash64("id"), "id").limit(train_docs)
         rows += [(r.text, label) for r in own.join(F.broadcast(part), "id").orderBy("id", "text").limit(2 * train_docs).collect()]
     return train([r[0] for r in rows], [r[1] for r in rows])
 
