@@ -5,9 +5,8 @@
     Two sets of Jaccard similarity 0.8 share no band with probability 5e-8.
 2.  Equal sets fall into one class by digest; only class representatives go on.
 3.  In each bucket every member is compared with one centre (a star), on full sets.
-    A second star uses another centre and only members that aren't yet in its
-    component.  Members of a bucket that are still in several components then are
-    compared exactly, in blocks of bounded size; only links leave a block.
+    Members of a bucket that are in several components after that are compared
+    exactly, in blocks of bounded size; only links leave a block.
 4.  Components of the links give the groups.
 """
 
@@ -128,12 +127,12 @@ def _verified(num: int, den: int):
 
 
 def _blocked(num: int, den: int):
-    """Links between the queries and the members of one block."""
+    """Links between the queries and the held members of one block; a row may be both."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps, query = (np.array(table.column(c).to_pylist()) for c in ("id", "component", "query"))
+        ids, comps, query, held = (np.array(table.column(c).to_pylist()) for c in ("id", "component", "query", "held"))
         sets = [np.frombuffer(x, _U) for x in table.column("hashes").to_pylist()]
-        rows = np.flatnonzero(~query)
+        rows = np.flatnonzero(held)
         sizes = np.array([len(s) for s in sets])
         flat = np.concatenate([np.zeros(0, _U), *(sets[r] for r in rows)])
         owner = np.repeat(np.arange(len(rows)), sizes[rows])
@@ -153,12 +152,11 @@ def _blocked(num: int, den: int):
     return run
 
 
-def _star(members: DataFrame, order) -> tuple[DataFrame, DataFrame]:
-    """members (key, id, component): the edges from each bucket's centre to members of other components, and the members without centres of buckets that still hold several components."""
-    centres = members.groupBy("key").agg(F.min_by("id", order).alias("centre"), F.min_by("component", order).alias("home"))
-    joined = members.join(centres, "key")
-    edges = joined.where("id <> centre and component <> home").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-    return edges, joined.where("id <> centre").select("key", "id")
+def _star(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (key, id): the edges from each bucket's centre, its least id, to its other members, and the members without the centres."""
+    centres = members.groupBy("key").agg(F.min("id").alias("centre"))
+    joined = members.join(centres, "key").where("id <> centre")
+    return joined.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), joined.select("key", "id")
 
 
 def _several(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -181,8 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = cut(slim.mapInArrow(_signatures(size), "id long, n long, digest binary, keys array<long>"))
     full = marks.where("n > 0 and id is not null")
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = full.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    rows = reps.select("id", F.explode("keys").alias("key")).distinct()
+    reps = full.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))  # equal sets have equal keys
+    rows = reps.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     members = cut(rows.join(shared, "key", "left_semi"))
 
@@ -194,18 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = edges.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("hv")), "v").join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("hu")), "u")
         return pairs.select("u", "v", "hu", "hv").mapInArrow(_verified(num, den), "u long, v long")
 
-    edges, rest = _star(members.withColumn("component", F.col("id")), F.col("id"))
+    edges, rest = _star(members)
     links = cut(verify(edges))
     components = cut(connected_components(links))
     rest = cut(_several(rest, components))
     if not rest.isEmpty():
-        edges, rest = _star(rest, F.xxhash64("id", "key"))
-        links = cut(links.unionByName(verify(edges)))
-        components = cut(connected_components(links))
-        rest = cut(_several(rest, components))
-        if not rest.isEmpty():
-            links = links.unionByName(_in_blocks(rest, components, sets, num, den))
-            components = cut(connected_components(links))
+        components = cut(connected_components(links.unionByName(_in_blocks(rest, components, sets, num, den))))
 
     group = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = marks.join(group, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
@@ -254,6 +246,7 @@ def _compared(members: DataFrame, queries: DataFrame, shape: DataFrame, sets: Da
     shape = shape.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("qb"))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    data = members.join(shape, "key").select("key", "id", "component", own("nb").alias("b"), blocks("qb").alias("q"), F.lit(False).alias("query"))
-    asking = queries.join(shape, "key").select("key", "id", "component", blocks("nb").alias("b"), own("qb").alias("q"), F.lit(True).alias("query"))
+    alone = F.col("nb") + F.col("qb") == 2 if queries is members else F.lit(False)  # a row goes once where its block meets itself
+    data = members.join(shape, "key").select("key", "id", "component", own("nb").alias("b"), blocks("qb").alias("q"), alone.alias("query"), F.lit(True).alias("held"))
+    asking = queries.join(shape, "key").where(~alone).select("key", "id", "component", blocks("nb").alias("b"), own("qb").alias("q"), F.lit(True).alias("query"), F.lit(False).alias("held"))
     return data.unionByName(asking).join(sets, "id").groupBy("key", "b", "q").applyInArrow(_blocked(num, den), "u long, v long")

@@ -77,6 +77,7 @@ def test_components(spark):
         if a is not None and a != b:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: root(x) for x in list(parent)}
+    for bound in (1000, 0):  # in one task, and by star steps
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), bound).collect()}
+        assert got == {x: root(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
