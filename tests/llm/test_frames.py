@@ -240,3 +240,12 @@ def test_mcd_ignores_outliers(spark):
         est = _step(rows, est)
     row = _scaled(rows, est).first()
     assert all(abs(row[f"m{k}"]) < 0.3 for k in range(5)) and row.n == 460 and 0.2 < row.l00 < 0.5
+
+
+def test_bounded_samples(spark):
+    from tallyframe.llm.spark_io import bounded_sample
+
+    rows = spark.range(20_000)
+    some = bounded_sample(rows, "id", 1000)
+    assert 950 <= some.count() <= 1250 and sorted(some.collect()) == sorted(bounded_sample(rows.repartition(7), "id", 1000).collect())
+    assert bounded_sample(rows, "id", 20_000).count() == 20_000 and bounded_sample(rows.limit(0), "id", 5).count() == 0
