@@ -4,7 +4,7 @@ Text statistics come from array functions on each row.  Rows that pass the base
 get a vector of transformed statistics.  For each (language, source), each language, and
 all rows, a minimum-covariance-determinant estimate is found by concentration steps from a
 median and quartile start: of all rows of a group, the H_SHARE nearest to the present
-estimate give the next one.  A step is one grouped aggregation by (group, distance bin)
+estimate give the next one, with the consistency factor of that share.  A step is one grouped aggregation by (group, distance bin)
 of moments, which the partial aggregation shrinks before the shuffle, so a group that
 holds a third of all rows costs no task more than any other.  A row is judged by the
 finest group that has MIN_ROWS rows.
@@ -21,10 +21,13 @@ from .spark_io import cut, free_name
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
-#: Spread that a statistic may always have: log word length, log1p of symbols, repeated lines and repeated words in percent, log words.
-FLOORS = (0.06, 0.15, 0.5, 0.5, 0.5)
 H_SHARE, STEPS, MIN_ROWS = 0.75, 3, 100
-CHI2_MEDIAN, CUTOFF = 4.351, 200.0  # median of chi-square with 5 degrees of freedom; squared distance beyond which a row goes
+CHI2_MEDIAN, CUTOFF = 4.351, 20.515  # median and 99.9% point of chi-square with 5 degrees of freedom: of normal rows, one in a thousand goes
+#: Covariance of normal rows over that of their nearest H_SHARE, by the number k of statistics that vary: H_SHARE over the chance that chi-square with k + 2 degrees of freedom is under the H_SHARE point of that with k.
+CONSISTENT = (2.713, 1.859, 1.609, 1.486, 1.412)
+#: Least spread, for groups without any of their own: log word length and log words are measures; log1p of symbols, repeated lines and repeated words in percent
+#: have the least amount that a short text can show (a symbol in 50 words, a line in three, two runs of three in 50 words) just at the cutoff.
+FLOORS = (0.02, 0.243, 0.78, 0.567, 0.1)
 BIN = 16.0  # bins an octave of squared distance
 FINE = 200.0  # bins a unit of a statistic
 
@@ -79,13 +82,13 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _factored(est: DataFrame) -> DataFrame:
-    """Cholesky factors l<i><j> of the covariances with the floors on their diagonal."""
+    """Cholesky factors l<i><j> of the covariances; what a statistic varies beside those before it is at least its floor."""
     for i in range(5):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+            rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+            est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
     return cut(est.select("grp", "n", "scale", *[f"m{k}" for k in range(5)], *[f"l{i}{j}" for i in range(5) for j in range(i + 1)]))
 
 
@@ -101,7 +104,7 @@ def _distance(prefix: str = "") -> Column:
 
 
 def _step(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """One concentration step: moments by distance bin, summed over the nearest H_SHARE of each group's rows; scale makes the median distance that of a chi-square."""
+    """One concentration step: moments by distance bin, summed over the nearest H_SHARE of each group's rows; the covariance is made consistent for that share."""
     near = rows.join(est, "grp").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BIN).cast("int"))
     pairs = [(i, j) for i in range(5) for j in range(i + 1)]
     sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(5)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs]
@@ -110,7 +113,10 @@ def _step(rows: DataFrame, est: DataFrame) -> DataFrame:
     bins = bins.withColumn("before", F.sum("k").over(order) - F.col("k")).withColumn("total", F.sum("k").over(Window.partitionBy("grp")))
     inner = bins.where(F.col("before") < F.col("total") * H_SHARE).groupBy("grp").agg(F.max("total").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in bins.columns if c[0] in "sp" and c[1:].isdigit()])
     mean = inner.withColumns({f"m{i}": F.col(f"s{i}") / F.col("k") for i in range(5)})
-    return _factored(mean.withColumns({f"c{i}{j}": F.col(f"p{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in pairs}).withColumn("scale", F.lit(1.0)))
+    spread = {(i, j): F.col(f"p{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in pairs}
+    vary = sum((F.when(spread[i, i] > FLOORS[i] ** 2, 1).otherwise(0) for i in range(1, 5)), F.when(spread[0, 0] > FLOORS[0] ** 2, 1).otherwise(0))
+    factor = F.element_at(F.array(*map(F.lit, CONSISTENT)), F.greatest(vary, F.lit(1)))
+    return _factored(mean.withColumns({f"c{i}{j}": factor * c for (i, j), c in spread.items()}).withColumn("scale", F.lit(1.0)))
 
 
 def _scaled(rows: DataFrame, est: DataFrame) -> DataFrame:

@@ -228,6 +228,22 @@ def test_quality_rules(spark, odd):
     assert all(r.kept and r.distance is None for r in few)
 
 
+def test_an_outlier_in_each_statistic_goes(spark):
+    """Beside 200 plain texts: long words, symbols, equal lines, repeated words, very many words, each alone in its text."""
+    rng = random.Random(11)
+    plain = [words(rng, 60 + k % 60) for k in range(200)]
+    line = "a"  # over one-word lines, as long as no three of them come twice
+    while more := [c for c in "edcba" if f"{line}\n{c}"[-5:] not in line]:
+        line += "\n" + more[0]
+    phrase = words(rng, 48)
+    planted = [words(rng, 90).replace(" ", "abcdefgh "), words(rng, 90).replace(" ", "$ ", 30), line, f"{phrase} {words(rng, 100)} {phrase}", words(rng, 3000)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(plain + planted)], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert all(out[k].kept for k in range(200))
+    assert out[202].n_repeat_words == 0 and out[202].n_dup_lines > 50 and out[203].n_dup_lines == 0
+    assert [k for k in range(200, 205) if out[k].kept or out[k].base_failed] == []
+
+
 def test_mcd_ignores_outliers(spark):
     """Against a plain NumPy concentration on the same rows: the estimate stays with the bulk."""
     from tallyframe.llm.quality_rules import FEATURES, STEPS, _scaled, _start, _step
