@@ -151,3 +151,27 @@ def test_facts(spark):
     assert got == {"d": (D(2023, 1, 1), D(2023, 12, 31)), "e": (None, D(2023, 6, 30))}
     named = spark.createDataFrame([(["explicitMember core:Dim core:WithinOneYear", ""],)], "s array<string>")
     assert named.select(facts.local_members("s")).first()[0] == ["WithinOneYear"]
+
+
+def test_fuzzy_query_matches_the_whole_table(spark, tmp_path):
+    """Against providers that choose one after the other among all companies of their block."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.functions.codes import name_key
+    from tallyframe.functions.similarity import token_set_ratio
+    from tallyframe.plans.text_queries import fuzzy_match
+
+    names = ["large ring", "hot bolt", "old plate", "hot plate", "cold gear"]
+    parts = spark.createDataFrame([(k, names[k * 7 % 5], f"Brand#{k * 5 % 13}", 1 + k * 3 % 4) for k in range(60)], "p_partkey long, p_name string, p_brand string, p_size int")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    full = F.concat("p_name", F.lit(" "), "p_brand")
+    rows = parts.select("p_partkey", "p_size", name_key(F.concat(full, F.lit(" Limited"))), name_key(F.concat(F.lit("The "), full, F.lit(" Ltd")))).collect()
+    free, want = {k: (size, name) for k, size, name, _ in rows}, set()
+    for k, size, _, name in sorted(rows):
+        near = [(-round(token_set_ratio(c, name)), f"{n:08d}", n) for n, (s, c) in free.items() if s == size]
+        near = [x for x in near if x[0] <= -90]
+        if near:
+            want.add((min(near)[1], k))
+            del free[min(near)[2]]
+    got = fuzzy_match(spark, str(tmp_path)).collect()
+    assert sorted((r.company_number, r.provider_id) for r in got) == sorted(want) and len({p % 4 for _, p in want}) == 4
