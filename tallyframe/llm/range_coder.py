@@ -1,14 +1,15 @@
 """Context-mixing range coder for token ids, many blocks in lockstep.
 
-An id is coded as four 4-bit digits, each by its place in a 16-way tree.  Three adaptive
-counters predict a digit: of the tree node alone (order 0), of node and last id (order 1), of
-node and last two ids (order 2; the latter two in hashed tables).  Their counts are mixed by
-weights that follow how well each order has predicted so far, and the mixed frequencies drive an
-arithmetic coder with 16-bit output words and carry.  All arithmetic is on integers, so that every
-machine decodes what any other has coded.
-
-A block starts with empty counters and shares nothing with others, so any number of blocks
-advance together as the rows of arrays; a block carries its id count and a CRC-32 of its ids.
+Three orders predict the next id.  Order 2 and order 1 hold, per hashed context, the id that came last and how
+sure it is; order 0 holds the counts of all ids of the block, renewed at fixed steps.  An id is one symbol: which order
+predicts it first, or an escape.  The chances of the four come from two adaptive tables (by how sure orders 2 and 1 are, and by
+the two symbols before), mixed by weights that follow how well each table has predicted of late.
+Order 0 then codes the id's share of the counts, an escape the id's share of a fixed falling slope.  The shares
+drive an arithmetic coder of 64 bits with 16-bit output words and carry.  All arithmetic is on integers, so that
+every machine decodes what any other has coded.
+
+A block starts with empty tables and shares nothing with others, so any number of blocks
+advance together as the columns of arrays; a block carries its id count and a CRC-32 of its ids.
 """
 
 from __future__ import annotations
@@ -17,15 +18,28 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096  # ids a block
-LANES = 384  # blocks that advance together
-SLOTS = 1 << 11  # hashed contexts of order 1 and of order 2, each, in a block
-LIMIT = 240  # a digit's count at which its node's counts are halved
-GAIN = (12, 24, 32)  # what a hit adds to a count, by order
-NODES = 1 + 16 + 256 + 4096
-_FIRST_NODE = (0, 1, 17, 273)
-_TOP, _MASK48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
-_U16 = np.uint64(16)
+BLOCK = 2048  # ids a block
+LANES = 2048  # blocks that advance together
+MAX_ID = (1 << 16) - 1
+SLOTS = 1024  # hashed contexts of order 1 and of order 2, each, in a block
+SURE = 3  # highest certainty of a slot
+RATE = 4  # shift of the tables' moving averages
+EVERY = 8  # ids after which the mixing weights are renewed
+ONE = 1 << 12  # a table's chances add up to about this
+#: Ids before which order 0 is renewed from the block's ids so far.
+RENEWALS = (16, 48, 128, 256, 512, 1024, 1536)
+WEIGHTS = 13  # what the two mixing weights share out; each has one more
+_U = np.uint64
+_WORD, _LEAST = _U(16), _U(1 << 48)
+_ID = np.int32((1 << 17) - 1)  # a slot is certainty << 17 | id + 1
+_HASH_1, _HASH_2, _HASH_3, _SHIFT = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0x2C1B3C6D, 22))
+#: The four chances of a table's row stand in one integer of four 16-bit fields, which are added, weighted and summed together.
+_FIELDS = _U(0x0001000100010001)
+_EVEN = _FIELDS * _U(ONE >> 2)
+_KEPT = _FIELDS * _U((1 << 16 - RATE) - 1)
+
+_slope = np.concatenate([[0], np.cumsum(1 + (1 << 14) // (np.arange(MAX_ID + 1) + 128))])  # lesser ids are commoner in public vocabularies
+_AT = np.repeat(np.arange(MAX_ID + 1), np.diff(_slope)).astype(np.int64)
 
 
 class CorruptBlock(ValueError):
@@ -33,50 +47,119 @@ class CorruptBlock(ValueError):
 
 
 class _Mixer:
-    """Counters and weights of all lanes."""
+    """Tables of all lanes.  `look` gives the candidates (id + 1, 0 for none) and the running sums of the four symbols' shares in 16-bit fields, `learn` takes what came."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.counts = [np.zeros((lanes * n, 16), dtype=np.uint16) for n in (NODES, SLOTS, SLOTS)]
-        self.trust = np.full((4, 3, lanes), 1024, dtype=np.int32)  # by digit: moving average of the share given to what came
-        self.last = np.zeros((2, lanes), dtype=np.int64)
-
-    def look(self, digit: int, prefix: np.ndarray) -> np.ndarray:
-        """Mixed frequencies of the next digit, (lanes, 16)."""
-        node = prefix + _FIRST_NODE[digit]
-        h1 = (self.last[0] * 0x2F0B4C47 + node * 0x9E3779B1) & 0xFFFFFFFF
-        h2 = ((self.last[1] * 0x3C6EF372 ^ self.last[0] * 0x85EBCA6B) + node * 0xC2B2AE35) & 0xFFFFFFFF
-        self.rows = [self.lane * NODES + node, self.lane * SLOTS + ((h1 ^ h1 >> 15) * 0x2C1B3C6D >> 12) % SLOTS, self.lane * SLOTS + ((h2 ^ h2 >> 15) * 0x2C1B3C6D >> 12) % SLOTS]
-        self.own = [c[r].astype(np.int32) for c, r in zip(self.counts, self.rows)]
-        self.sums = [o.sum(axis=1, dtype=np.int32) for o in self.own]
-        mixed = np.ones_like(self.own[0])
-        for o, n, t in zip(self.own, self.sums, self.trust[digit]):
-            mixed += (o * ((t << 3) // (n + 8))[:, None]) >> 2
-        return mixed
-
-    def learn(self, digit: int, symbol: np.ndarray) -> None:
-        for k, (c, r, o, n) in enumerate(zip(self.counts, self.rows, self.own, self.sums)):
-            hit = o[self.lane, symbol]
-            t = self.trust[digit, k]
-            t += ((hit << 12) // (n + 8) - t) >> 5
-            np.maximum(t, 16, out=t)
-            new = hit + GAIN[k]
-            c[r, symbol] = new
-            full = np.flatnonzero(new > LIMIT)
-            if len(full):
-                c[r[full]] >>= 1
-
-    def turn(self, ids: np.ndarray) -> None:
-        self.last[1] = self.last[0]
-        self.last[0] = ids
+        own = np.arange(lanes)
+        self.slot_0, self.row_0 = own * SLOTS, own * 16
+        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
+        self.chances = [np.full(lanes * 16, _EVEN, dtype=_U) for _ in range(2)]
+        self.came = [np.ones(lanes, dtype=_U) for _ in range(2)]  # chances that each table lately gave to what came
+        self.last = [np.zeros(lanes, dtype=np.uint32) for _ in range(2)]
+        self.before = np.zeros(lanes, dtype=np.int64)  # the two symbols before
+        self.steps = 0
+
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.steps % EVERY == 0:
+            both = self.came[0] + self.came[1]
+            self.weight = self.came[0] * _U(WEIGHTS) // both + _U(1)
+            self.other = _U(WEIGHTS + 2) - self.weight
+            for c in self.came:
+                c >>= _U(1)
+                c += _U(1)
+        self.steps += 1
+        a, b = self.last
+        one = a * _HASH_1
+        two = (b * _HASH_2 ^ one) * _HASH_3
+        self.at = [self.slot_0 + (h >> _SHIFT) for h in (two, one)]
+        second, first = (s.take(k) for s, k in zip(self.slots, self.at))
+        self.ids = [second & _ID, first & _ID]
+        self.sure = [second >> 17, first >> 17]
+        self.rows = [self.row_0 + ((self.sure[0] << 2) + self.sure[1] * (self.ids[0] != self.ids[1])), self.row_0 + self.before]
+        self.given = [c.take(r) for c, r in zip(self.chances, self.rows)]
+        upto = self.given[0] * self.weight
+        upto += self.given[1] * self.other
+        upto *= _FIELDS
+        return *self.ids, upto
+
+    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
+        shift = symbol.astype(_U) << _U(4)
+        more = _U(ONE >> RATE) << shift
+        for c, r, g, t in zip(self.chances, self.rows, self.given, self.came):
+            t += g >> shift & _U(0xFFFF)
+            lost = g >> _U(RATE)
+            lost &= _KEPT
+            g -= lost
+            g += more
+            c[r] = g
+        came = (ids + 1).astype(np.int32)
+        for s, k, held, sure in zip(self.slots, self.at, self.ids, self.sure):
+            sure *= held == came
+            sure += 1
+            np.minimum(sure, SURE, out=sure)
+            sure <<= 17
+            sure += came
+            s[k] = sure
+        self.last = [ids.astype(np.uint32), self.last[0]]
+        self.before = (self.before & 3) << 2 | symbol
+
+
+def _order_0(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id of (lanes, steps), turned: where its share of the counts at the last renewal begins, and the share; 0 where it has not come before that."""
+    lanes, steps = mine.shape
+    order = np.argsort(mine, axis=1, kind="stable")
+    order += (np.arange(lanes) * steps)[:, None]
+    order = order.reshape(-1)
+    ordered = mine.reshape(-1).take(order).reshape(lanes, steps)
+    fresh = np.zeros((lanes, steps), dtype=np.int32)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    np.cumsum(fresh, axis=1, out=fresh)
+    kinds = int(fresh.max()) + 1
+    fresh += (np.arange(lanes, dtype=np.int32) * kinds)[:, None]
+    rank = np.empty(lanes * steps, dtype=np.int32)
+    rank[order] = fresh.reshape(-1)
+    rank = np.ascontiguousarray(rank.reshape(lanes, steps).T)
+    begin, share = np.zeros((steps, lanes), dtype=np.int32), np.zeros((steps, lanes), dtype=np.int32)
+    counts = np.zeros(lanes * kinds, dtype=np.int32)
+    edges = [0, *(e for e in RENEWALS if e < steps), steps]
+    for a, b, c in zip(edges, edges[1:], edges[2:]):
+        counts += np.bincount(rank[a:b].reshape(-1), minlength=lanes * kinds)
+        upto = np.cumsum(counts.reshape(lanes, kinds), axis=1, dtype=np.int32).reshape(-1)
+        share[b:c] = counts.take(rank[b:c])
+        begin[b:c] = upto.take(rank[b:c])
+        begin[b:c] -= share[b:c]
+    return begin, share
+
+
+class _Counts:
+    """Order 0 for decoding, from the sorted ids so far: a place in the counts to its id, where the id's share begins and where it ends."""
+
+    def __init__(self, ids: np.ndarray):
+        self.n, lanes = ids.shape
+        ordered = np.sort(ids.T.astype(np.uint16), axis=1, kind="stable")
+        fresh = np.ones((lanes, self.n), dtype=bool)
+        fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        self.ids = ordered.reshape(-1)
+        self.run = np.cumsum(fresh.reshape(-1), dtype=np.int32)
+        self.edge = np.append(np.flatnonzero(fresh), lanes * self.n)
+
+    def find(self, lane: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        base = lane * self.n
+        place = base + value
+        run = self.run.take(place)
+        return self.ids.take(place), self.edge.take(run - 1) - base, self.edge.take(run) - base
+
+
+def _together(sizes: list[int]):
+    """Groups of at most LANES blocks, the longest first: the longest of a group decides how many steps are taken."""
+    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    return (order[a : a + LANES] for a in range(0, len(order), LANES))
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payload of each block of ids below 65,536; blocks may differ in length, the longest decides how many steps are taken."""
+    """Payload of each block of at most BLOCK ids; ids over MAX_ID are refused."""
     out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
+    for part in _together([len(b) for b in blocks]):
         for k, payload in zip(part, _encode([blocks[k] for k in part])):
             out[k] = payload
     return out
@@ -84,58 +167,85 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, steps = len(blocks), max(map(len, blocks), default=0)
+    if not steps:
+        return [b""] * lanes
+    if steps > BLOCK or any(len(b) and (b.dtype != np.uint16 and not 0 <= int(b.min()) <= int(b.max()) <= MAX_ID) for b in blocks):
+        raise ValueError(f"a block holds at most {BLOCK} ids of 0 to {MAX_ID}")
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((steps, lanes), dtype=np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
+    mine = np.zeros((lanes, steps), dtype=np.uint16)
+    for row, b in zip(mine, blocks):
+        row[: len(b)] = b
+    begin, share = _order_0(mine)
+    ids = np.ascontiguousarray(mine.T).astype(np.int32)
+    new = share == 0
+    novel = new.astype(np.int64)
+    inner = np.where(new, _slope.take(ids), begin).astype(_U)
+    wider = (np.where(new, _slope.take(ids + 1) - _slope.take(ids), share) - 1).astype(_U)
     mixer, lane = _Mixer(lanes), np.arange(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 1 << 48, dtype=np.uint64)
-    words = np.zeros((lanes, steps * 4 + 8), dtype=np.uint16)  # a digit gives one word at most
-    at = np.zeros(lanes, dtype=np.int64)
+    low, span = np.zeros(lanes, dtype=_U), np.full(lanes, 2**64 - 1, dtype=_U)
+    room = steps * 3 + 8  # an id takes 34 bits at most
+    words = np.zeros(lanes * room, dtype=np.uint16)
+    at = lane * room
 
     def carry(which: np.ndarray) -> None:
         place = at[which] - 1
-        while len(which):
-            words[which, place] += np.uint16(1)
-            go = words[which, place] == 0
-            which, place = which[go], place[go] - 1
-
+        while len(place):
+            words[place] += np.uint16(1)
+            place = place[words[place] == 0] - 1
+
+    def move(start: np.ndarray) -> None:
+        nonlocal low
+        low = low + start
+        over = low < start
+        if over.any():
+            carry(np.flatnonzero(over))
+
+    live, renewed = lanes, 0  # lanes go by falling size: the first `live` ones are still on
     for t in range(steps):
-        live = sizes > t
-        prefix = np.zeros(lanes, dtype=np.int64)
-        for digit in range(4):
-            symbol = (ids[t] >> (12 - 4 * digit)) & 15
-            freq = mixer.look(digit, prefix)
-            upto = np.cumsum(freq, axis=1)
-            width = freq[lane, symbol]
-            step = span // upto[:, 15].astype(np.uint64)
-            low += np.where(live, (upto[lane, symbol] - width).astype(np.uint64) * step, np.uint64(0))
-            span = np.where(live, width.astype(np.uint64) * step, span)
-            over = np.flatnonzero(low > _MASK48)
-            if len(over):
-                low[over] &= _MASK48
-                carry(over)
-            small = np.flatnonzero(span < _TOP)
-            if len(small):
-                words[small, at[small]] = (low[small] >> np.uint64(32)).astype(np.uint16)
-                at[small] += 1
-                low[small] = (low[small] << _U16) & _MASK48
-                span[small] <<= _U16
-            mixer.learn(digit, symbol)
-            prefix = prefix * 16 + symbol
-        mixer.turn(ids[t])
-    for shift in (32, 16, 0):
-        words[lane, at] = (low >> np.uint64(shift)).astype(np.uint16)
-        at += 1
-    return [words[k, : at[k]].astype("<u2").tobytes() if sizes[k] else b"" for k in range(lanes)]
+        if t in RENEWALS:
+            renewed = t
+        while sizes[live - 1] <= t:
+            live -= 1
+        if live < lanes:
+            off = slice(live, None)
+            held = low[off].copy(), span[off].copy()
+        own = ids[t]
+        second, first, upto = mixer.look()
+        came = own + 1
+        symbol = (came != second) * (1 + (came != first) * (1 + novel[t]))
+        shift = symbol.astype(_U) << _U(4)
+        below = (upto << _WORD) >> shift & _U(0xFFFF)
+        step = span // (upto >> _U(48))
+        deeper = (symbol > 1).astype(_U)
+        span = ((upto >> shift & _U(0xFFFF)) - below) * step
+        start = below * step
+        step = span // (deeper * (novel[t] * (int(_slope[-1]) - renewed) + (renewed - 1)).astype(_U) + _U(1))
+        start += deeper * inner[t] * step
+        span = (deeper * wider[t] + _U(1)) * step
+        if live < lanes:
+            start[off] = 0
+        move(start)
+        if live < lanes:
+            low[off], span[off] = held
+        while True:
+            small = (span < _LEAST).astype(_U)
+            if not small.any():
+                break
+            words[at] = low >> _U(48)  # counts where the place moves on
+            at += small.astype(np.int64)
+            small <<= _U(4)
+            low <<= small
+            span <<= small
+        mixer.learn(symbol, own)
+    move(np.full(lanes, (1 << 48) - 1, dtype=_U))  # one word more is enough: the span holds a multiple of 2**48
+    words[at] = low >> _U(48)
+    return [words[k * room : at[k] + 1].astype("<u2").tobytes() if sizes[k] else b"" for k in range(lanes)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """Ids of each block from its payload and id count."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda k: -sizes[k])
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
+    for part in _together(sizes):
         for k, ids in zip(part, _decode([payloads[k] for k in part], [sizes[k] for k in part])):
             out[k] = ids
     return out
@@ -143,38 +253,60 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 def _decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     lanes, steps = len(payloads), max(sizes, default=0)
-    words = np.zeros((lanes, max(map(len, payloads), default=0) // 2 + 8), dtype=np.uint64)
+    room = max(map(len, payloads), default=0) // 2 + 8
+    words = np.zeros(lanes * room + 8, dtype=np.uint16)
     for k, p in enumerate(payloads):
-        words[k, : len(p) // 2] = np.frombuffer(p, dtype="<u2")
+        words[k * room : k * room + len(p) // 2] = np.frombuffer(p, dtype="<u2")
     mixer, lane = _Mixer(lanes), np.arange(lanes)
-    end = words.shape[1] - 1
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << _U16) | words[:, 2]
-    at = np.full(lanes, 3, dtype=np.int64)
-    span = np.full(lanes, 1 << 48, dtype=np.uint64)
+    at, code = lane * room, np.zeros(lanes, dtype=_U)
+    for _ in range(4):
+        code = (code << _WORD) | words[at]
+        at += 1
+    span = np.full(lanes, 2**64 - 1, dtype=_U)
     ids = np.zeros((steps, lanes), dtype=np.int64)
-    live = np.array(sizes)
+    counts = None
     for t in range(steps):
-        on = live > t
-        prefix = np.zeros(lanes, dtype=np.int64)
-        for digit in range(4):
-            freq = mixer.look(digit, prefix)
-            upto = np.cumsum(freq, axis=1)
-            step = span // upto[:, 15].astype(np.uint64)
-            value = np.minimum(code // step, (upto[:, 15] - 1).astype(np.uint64)).astype(np.int32)
-            symbol = (upto <= value[:, None]).sum(axis=1)
-            width = freq[lane, symbol]
-            code -= np.where(on, (upto[lane, symbol] - width).astype(np.uint64) * step, np.uint64(0))
-            span = np.where(on, width.astype(np.uint64) * step, span)
-            small = np.flatnonzero(span < _TOP)
-            if len(small):
-                code[small] = (code[small] << _U16) | words[small, np.minimum(at[small], end)]
-                at[small] += 1
-                span[small] <<= _U16
-            mixer.learn(digit, symbol)
-            prefix = prefix * 16 + symbol
-        ids[t] = prefix
-        mixer.turn(prefix)
-    return [ids[: sizes[k], k].copy() for k in range(lanes)]
+        if t in RENEWALS:
+            counts = _Counts(ids[:t])
+        second, first, upto = mixer.look()
+        total = upto >> _U(48)
+        step = span // total
+        value = np.minimum(code // step, total - _U(1))
+        symbol = (value >= (upto & _U(0xFFFF))).astype(np.int64)
+        for k in (16, 32):
+            symbol += value >= (upto >> _U(k) & _U(0xFFFF))
+        shift = symbol.astype(_U) << _U(4)
+        below = (upto << _WORD) >> shift & _U(0xFFFF)
+        code -= below * step
+        span = ((upto >> shift & _U(0xFFFF)) - below) * step
+        own = (first + (symbol == 0) * (second - first)).astype(np.int64) - 1
+        which = np.flatnonzero(symbol > 1)
+        escaped = symbol[which] == 3
+        whole = np.where(escaped, _slope[-1], counts.n if counts else 1).astype(_U)
+        step = span[which] // whole
+        value = np.minimum(code[which] // step, whole - _U(1)).astype(np.int64)
+        found = _AT.take(value * escaped)
+        inner, outer = _slope.take(found), _slope.take(found + 1)
+        if counts:
+            known = np.flatnonzero(~escaped)
+            found[known], inner[known], outer[known] = counts.find(which[known], value[known])
+        own[which] = found
+        code[which] -= inner.astype(_U) * step
+        span[which] = (outer - inner).astype(_U) * step
+        np.maximum(own, 0, out=own)  # only past the end of a shorter block
+        for _ in range(3):
+            small = (span < _LEAST).astype(_U)
+            if not small.any():
+                break
+            bits = small << _U(4)
+            code = code << bits | words.take(at, mode="clip") * small
+            at += small.astype(np.int64)
+            span <<= bits
+        np.maximum(span, _LEAST, out=span)  # as above: a span of a coded id is never less
+        ids[t] = own
+        mixer.learn(symbol, own)
+    flat = np.ascontiguousarray(ids.T.astype(np.uint16))
+    return [row[:n] for row, n in zip(flat, sizes)]
 
 
 def id_bytes(ids: np.ndarray) -> bytes:

@@ -14,14 +14,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .range_coder import BLOCK, LANES, checked, decode_blocks, encode_blocks, id_bytes, joined_crc
+from .range_coder import BLOCK, LANES, MAX_ID, checked, decode_blocks, encode_blocks, id_bytes, joined_crc
+from .vectext import IS_SPACE, buffers, slices_of
 
 END_ID = 0
+MEMO_WORDS, SLICE_BYTES = 1_000_000, 8 << 20  # known words of a task, bytes of text coded together
+JOINED = 256  # words in a text for the library
 FILE_SCHEMA = "shard int, block int, base long, n_ids int, crc32 long, payload binary, open_start long, first_start long, doc_ids array<long>, doc_lens array<long>"
 _FRAGMENTS = "shard int, start_in_shard long, doc_id long, begins boolean, pos long, n long, crc long"
 _tokenizers: dict = {}
@@ -38,10 +42,86 @@ def load_tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _ends_in_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each byte position is white space; one whose last bytes are like those of a white space outside ASCII is taken for one."""
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    return (one <= 0x20) | (one == 0x7F) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
+
+
+def _word_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions where texts are cut into words for the tokenizer: where white space follows another character.
+
+    No token spans such a place and none depends on what stands before it, so that the ids of a text are those of its words.
+    """
+    at = np.flatnonzero(IS_SPACE[data])
+    cuts = np.sort(np.concatenate([offsets, at[~_ends_in_space(data, at)]]), kind="stable")
+    return cuts[np.append(True, cuts[1:] != cuts[:-1])]
+
+
+class WordCoder:
+    """Ids of whole texts by the library, each distinct word once; the table of known words starts anew when it is full."""
+
+    def __init__(self, path: str):
+        tokenizer = load_tokenizer(path)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        vocabulary = tokenizer.get_vocab()
+        self.length = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each id
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)  # a byte-level token has a character a byte
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids = np.array([END_ID], dtype=np.uint16)
+        self.ends = np.array([1])  # of the words' ids; the end id is word 0
+
+    def _learn(self, words: pa.LargeStringArray) -> None:
+        """Code new words: those that start with white space and end with none many in a text, whose ids are cut at the words' lengths, others alone."""
+        data, offsets = buffers(words)
+        joins = IS_SPACE[data[offsets[:-1]]] & ~_ends_in_space(data, offsets[1:])
+        first, other = words.filter(pa.array(joins)), words.filter(pa.array(~joins))
+        raw, bounds = buffers(first)
+        raw, pieces = raw.tobytes(), [*bounds[:-1:JOINED].tolist(), int(bounds[-1])]
+        ids = self._coded([raw[a:z].decode() for a, z in zip(pieces, pieces[1:])])
+        ids = np.concatenate([np.zeros(0, np.uint16), *ids])
+        upto = np.cumsum(self.length[ids])
+        ends = np.searchsorted(upto, bounds[1:]) + 1
+        if len(ids) != (ends[-1] if len(ends) else 0) or (upto[ends - 1] != bounds[1:]).any():
+            raise ValueError("the tokenizer's ids don't end where words do")
+        alone = self._coded(other.to_pylist())
+        self.known = pa.concat_arrays([self.known, first, other])
+        self.ends = np.concatenate([self.ends, len(self.ids) + ends, len(self.ids) + len(ids) + np.cumsum([len(x) for x in alone], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids, *alone])
+
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for a in range(0, len(texts), 64):
+            out += [np.array(coded.ids, dtype=np.uint16) for coded in self.encode(texts[a : a + 64], add_special_tokens=False)]
+        return out
+
+    def texts(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, the end id after each, and each one's count with the end id."""
+        data, offsets = buffers(column)
+        cuts = _word_cuts(data, offsets)
+        words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        if len(self.known) > MEMO_WORDS:
+            self._empty()
+        new = words.dictionary.filter(pc.invert(pc.is_in(words.dictionary, self.known)))
+        if len(new):
+            self._learn(new)
+        at = pc.index_in(words.dictionary, self.known).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        upto = np.searchsorted(cuts, offsets[1:])  # words of the texts up to each one's end
+        which = np.insert(at[words.indices.to_numpy()], upto, 0)
+        end = self.ends[which]
+        n = end - np.concatenate([[0], self.ends])[which]
+        total = np.cumsum(n)
+        ids = self.ids[np.repeat(end - total, n) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.diff(total[upto + np.arange(len(upto))], prepend=0)
+
+
 def _write(path: str):
     def run(batches):
-        tokenizer = load_tokenizer(path)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        coder = WordCoder(path)
         shard = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         starts: list[tuple[int, int | None, int]] = []  # (start in shard, id, length) of documents whose start isn't written yet
@@ -67,14 +147,14 @@ def _write(path: str):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[n.split()[0] for n in FILE_SCHEMA.split(", ")])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, coded in zip(part.column(0).to_pylist(), encode(texts, add_special_tokens=False)):
-                    ids = np.array([*coded.ids, END_ID], dtype=np.uint16)
-                    starts.append((total, doc, len(ids)))
-                    held.append(ids)
-                    size, total = size + len(ids), total + len(ids)
+            for a, z in slices_of(batch.column(1), SLICE_BYTES):
+                part = batch.slice(a, z - a)
+                ids, counts = coder.texts(part.column(1))
+                for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
+                    starts.append((total, doc, n))
+                    total += n
+                held.append(ids)
+                size += len(ids)
                 if size >= BLOCK * LANES:
                     flat = np.concatenate(held)
                     whole = len(flat) // BLOCK * BLOCK
@@ -87,9 +167,16 @@ def _write(path: str):
 
 
 def write_token_files(docs: DataFrame, out_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
-    """Write the files.  Ids ascend, a null id comes first; rows of one id go by text.  A null text is empty: it has the end id alone.  An empty table gives files without blocks."""
+    """Write the files.  Ids ascend, a null id comes first; rows of one id go by text.  A null text is empty: it has the end id alone.
+
+    Texts of any length are coded whole; their ids run on over as many blocks as they need.  An empty table gives files without blocks.
+    Ids take 16 bits: a tokenizer with ids over MAX_ID is refused before anything is written.
+    """
     spark = docs.sparkSession
     ship(spark)
+    largest = max(load_tokenizer(tokenizer_path).get_vocab().values(), default=0)
+    if largest > MAX_ID:
+        raise ValueError(f"the tokenizer has ids up to {largest}; the files hold ids up to {MAX_ID}")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     placed = slim.repartitionByRange(shards, F.col("id"), F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
