@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, else the one that the context has, else a new one of our own (tests)."""
+    """The folder of spark.checkpoint.dir, else the one that the context has, else, on a local master only, a new one of our own (tests)."""
     context = spark.sparkContext
     has = context._jsc.sc().getCheckpointDir()
     own = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(own)
         return own
     if has.isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -102,11 +102,6 @@ def prime_target(oldest_director, years_trading, employees, least_age: int = 58,
     return F.coalesce((col(oldest_director) >= least_age) & (col(years_trading) > least_years) & (col(employees) > least_employees), F.lit(False))
 
 
-def first_label(*steps: tuple[Column, str], otherwise: str | None = None) -> Column:
-    """Decision ladder over labels (independence, gap tiers, account notes are such ladders)."""
-    return ladder(*steps, otherwise=otherwise)
-
-
 def notes(*steps: tuple[Column, str]) -> Column:
     """All notes whose condition holds, '; ' between."""
     return F.concat_ws("; ", *(F.when(c, F.lit(t)) for c, t in steps))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -42,6 +43,59 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(ratios)
 
 
+class Names:
+    """Word sets, joined forms and letter counts of names."""
+
+    def __init__(self, names: list[str]):
+        self.words = [sorted(set(n.split())) for n in names]
+        self.joined = [" ".join(w) for w in self.words]
+        self.size = np.array([len(j) for j in self.joined], dtype=np.int32)
+        self.count = np.array([len(w) for w in self.words], dtype=np.int32)
+
+    def letters(self, alphabet: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(self.joined), len(alphabet)), dtype=np.int16)
+        for row, joined in zip(out, self.joined):
+            for ch in joined:
+                if ch in alphabet:
+                    row[alphabet[ch]] += 1
+        return out
+
+    def incidence(self, vocabulary: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(self.words), len(vocabulary)), dtype=np.float32)
+        for row, words in zip(out, self.words):
+            row[[vocabulary[w] for w in words if w in vocabulary]] = 1
+        return out
+
+
+def close_pairs(left: list[str], right: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of all pairs whose rounded token-set ratio is at the threshold, and the ratio.
+
+    Bounds over all pairs at once come first: the two comparisons with the shared words are exact, as these are the beginning of both, and
+    the letters in common bound the third, so that few pairs are compared by edits.
+    """
+    a, b, least = Names(left), Names(right), threshold - 0.5
+    common = {w for words in a.words for w in words} & {w for words in b.words for w in words}
+    vocabulary = {w: k for k, w in enumerate(sorted(common))}
+    x, y = a.incidence(vocabulary), b.incidence(vocabulary)
+    n = x @ y.T
+    width = (x * np.array([len(w) for w in vocabulary], dtype=np.float32)) @ y.T + n - 1
+    some = n > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        held = np.where(some, 200 * np.maximum(width / (width + a.size[:, None]), width / (width + b.size[None, :])), 0)
+    whole = some & ((n == a.count[:, None]) | (n == b.count[None, :]))
+    alphabet = {ch: k for k, ch in enumerate(sorted({ch for j in a.joined for ch in j} & {ch for j in b.joined for ch in j}))}
+    p, q = a.letters(alphabet), b.letters(alphabet)
+    bag = np.zeros((len(left), len(right)), dtype=np.int16)
+    for k in range(len(alphabet)):
+        bag += np.minimum.outer(p[:, k], q[:, k])
+    total = np.maximum(a.size[:, None] + b.size[None, :], 1)
+    bound = np.where((a.count[:, None] > 0) & (b.count[None, :] > 0), 200.0 * bag / total, 0)
+    i, j = np.nonzero(whole | (held >= least) | (bound >= least))
+    ratio = np.array([100 if whole[s, t] else round(token_set_ratio(a.joined[s], b.joined[t])) for s, t in zip(i, j)], dtype=np.int32)
+    good = ratio >= threshold
+    return i[good], j[good], ratio[good]
+
+
 @F.pandas_udf(IntegerType())
 def _rounded(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     known: dict[tuple, int] = {}

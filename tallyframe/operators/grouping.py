@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.codes import area_prefix
 from ..functions.scores import agreement
 
 
+SKETCH = 10_000  # accuracy of the sketch that brackets a rank
+FEW = 20_000  # rows of a table of groups that may go along with each task
+
+
 def first_by(df: DataFrame, keys: list[str] | str, *order: Column) -> DataFrame:
     """One row a key: the first by `order`, which should end in a unique column."""
     keys = [keys] if isinstance(keys, str) else keys
@@ -105,11 +110,50 @@ def merged_groups(df: DataFrame, number: str, fallback: str, order: str, firsts:
     return df.groupBy(key.alias("merge_key")).agg(F.count("*").alias("n_rows"), *(filled(c).alias(c) for c in firsts), *(F.bool_or(c).alias(c) for c in flags))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """`df`, written once, to go along with each task if it has at most FEW rows; a larger one is joined by a shuffle."""
+    held = cut(df)
+    return F.broadcast(held) if held.limit(FEW + 1).count() <= FEW else held
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles (name to point), exact, with n; a row a group, nulls left out.
+
+    No task holds a group's values: a sketch brackets each wanted rank between two values, what lies below the bracket is only
+    counted, and the values inside, a few in SKETCH of a group, are put in order.  A group of at most 10 * SKETCH values is put in order whole.
+    """
+    x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    near = [min(1.0, max(0.0, q + d)) for q in points.values() for d in (-2.0 / SKETCH, 2.0 / SKETCH)]
+    sketch = x.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_x", near, SKETCH).alias("_s"))
+    edge = lambda k, none: F.when(F.col("n") > 10 * SKETCH, F.col("_s")[k]).otherwise(F.lit(none))
+    ranks = [F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("rank"), edge(2 * k, float("-inf")).alias("lo"), edge(2 * k + 1, float("inf")).alias("hi")) for k, (name, q) in enumerate(points.items())]
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    wanted = small(sketch.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "n", F.array(*ranks).alias("_w")))
+    pairs = x.join(wanted, same) if keys else x.join(wanted)  # without keys: one row
+    pairs = pairs.select(*keys, "_x", "n", F.explode("_w").alias("w")).select(*keys, "_x", "n", "w.*").where("_x <= hi")
+    counted = pairs.groupBy(*keys, "name", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("_x")).agg(F.count("*").alias("c"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    placed = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "name").orderBy(F.col("_x").asc_nulls_first())))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("_x")))
+    low, high, part = at(F.floor("rank")), at(F.ceil("rank")), F.first(F.col("rank") - F.floor("rank"))
+    found = placed.groupBy(*keys, "name").agg((low + part * (high - low)).alias("v"), F.first("n").alias("n"))
+    return found.groupBy(*keys).agg(F.first("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in points))
+
+
+def grouped_runs(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """A row a key with its rows' other columns as a list of structs in order, as reading the ordered rows key by key gives them; one key's rows are meant to be few."""
+    rest = [c for c in df.columns if c != key]
+    first = [c for c in order if c in rest]
+    item = F.struct(*first, *(c for c in rest if c not in first))
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+
+
 def log_mad(df: DataFrame, keys: list[str], value: str, least: int = 8) -> DataFrame:
     """Median and scaled median absolute deviation of the logs of positive values, by group; null under `least` values."""
     logs = df.where(F.col(value) > 0).select(*keys, F.log(value).alias("_x"))
-    mid = logs.groupBy(*keys).agg(F.median("_x").alias("median_log"), F.count("*").alias("n"))
-    spread = logs.join(mid, keys).groupBy(*keys).agg(F.median(F.abs(F.col("_x") - F.col("median_log"))).alias("mad"))
+    mid = exact_quantiles(logs, keys, "_x", {"median_log": 0.5})
+    mid = cut(mid)
+    away = logs.join(small(mid), keys).select(*keys, F.abs(F.col("_x") - F.col("median_log")).alias("_x"))
+    spread = exact_quantiles(away, keys, "_x", {"mad": 0.5}).drop("n")
     scaled = F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")) * 1.4826
     enough = F.col("n") >= least
     return mid.join(spread, keys).select(*keys, "n", F.when(enough, F.col("median_log")).alias("median_log"), F.when(enough, scaled).alias("mad_log"))
@@ -117,7 +161,7 @@ def log_mad(df: DataFrame, keys: list[str], value: str, least: int = 8) -> DataF
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points=(0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     """Linearly interpolated percentiles."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("p")).select(*keys, *(F.col("p")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(points)))
+    return exact_quantiles(df, keys, value, {f"p{round(100 * q)}": q for q in points}).drop("n")
 
 
 def suspicion(weights: list[tuple[Column, int, str]]) -> tuple[Column, Column, Column]:
@@ -132,6 +176,13 @@ def next_id(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_ids(new: DataFrame, existing: DataFrame, id_col: str, *order: Column) -> DataFrame:
-    """Surrogate ids after the largest one in use, in a stated order; for batches of new rows, which one task numbers."""
+    """Surrogate ids after the largest one in use, in a stated order, which has to end in something unique.
+
+    The rows are sorted over all tasks; each task numbers its own, after the counts of those before it, of which there is one a task.
+    """
+    placed = cut(new.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
+    before = sizes.withColumn("_before", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).drop("_c")
     start = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_start"))
-    return new.withColumn("_n", F.row_number().over(Window.orderBy(*order))).crossJoin(start).withColumn(id_col, F.col("_start") + F.col("_n")).drop("_n", "_start")
+    numbered = placed.join(F.broadcast(before), "_part").join(F.broadcast(start))  # a row a task, and one row
+    return numbered.withColumn(id_col, F.col("_start") + F.col("_before") + (F.col("_at") - F.col("_first")) + 1).drop("_part", "_at", "_first", "_before", "_start")

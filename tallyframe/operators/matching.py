@@ -1,24 +1,28 @@
 """Entity resolution of companies and providers: shared numbers first, then similar names inside an outward code.
 
-Direct matches are equi-joins on numbers.  Fuzzy matching scores all pairs of a block at once and keeps those at the
-threshold; which provider gets a company then follows the rule that providers choose in order of id, each the best
-company that is still free.  That order is resolved in rounds without a driver loop over rows: in a round, a provider
-takes its best free company if no provider of lesser id has an edge to it.
+Direct matches are equi-joins on numbers.  Fuzzy matching looks at all pairs of a block: bounds over a whole block at once, from the shared words and from
+the letters that two names have in common, leave few pairs whose edits have to be counted.  Which provider gets a company then follows the
+rule that providers choose in order of id, each the best company that is still free.  All providers propose at once to the best company
+that they haven't lost; a company keeps the least id, and who is refused proposes again.  This ends with the same pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions.codes import name_key, outward_code, registry_number
 from ..functions.scores import ladder
-from ..functions.similarity import token_set_similarity
+from ..functions.similarity import close_pairs, token_set_similarity
 from ..session import ship
-from .grouping import first_by
+from .grouping import first_by, small
 
 THRESHOLD, CONFLICT = 90, 89
+ONE_TASK_PAIRS = 1_000_000  # pairs that one task settles
+BLOCK = 512  # names of a side that are compared together
 
 
 def direct_matches(companies: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -32,30 +36,71 @@ def direct_matches(companies: DataFrame, numbers: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(companies: DataFrame, providers: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs in a common outward code with a name similarity at the threshold, and the place of the code in the provider's list."""
-    ship(companies.sparkSession)
-    c = companies.select("company_number", name_key("company_name").alias("c_name"), outward_code("postcode").alias("code")).where("code is not null and c_name <> ''")
-    p = providers.select("provider_id", name_key("provider_name").alias("p_name"), F.posexplode("postcode_prefixes_list").alias("place", "code")).where("code <> '' and p_name <> ''")
-    pairs = p.join(c, "code").groupBy("provider_id", "company_number").agg(F.min("place").alias("place"), F.first("c_name").alias("c_name"), F.first("p_name").alias("p_name"))
-    scored = pairs.withColumn("ratio", token_set_similarity("c_name", "p_name"))
-    return scored.where(F.col("ratio") >= threshold).select("provider_id", "company_number", "place", "ratio")
+def _compared(threshold: int):
+    """Close pairs of one block's companies and providers."""
+
+    def run(block: pa.Table) -> pa.Table:
+        side = np.asarray(block.column("is_company"))
+        c, p = (block.filter(pa.array(mask)) for mask in (side, ~side))
+        i, j, ratio = close_pairs(c.column("name").to_pylist(), p.column("name").to_pylist(), threshold)
+        return pa.table({"provider_id": p.column("provider_id").take(j), "company_number": c.column("company_number").take(i), "place": p.column("place").take(j), "ratio": pa.array(ratio, pa.int32())})
+
+    return run
 
 
-def consume(pairs: DataFrame) -> DataFrame:
+def candidate_pairs(companies: DataFrame, providers: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs in a common outward code with a name similarity at the threshold, and the place of the code in the provider's list.
+
+    The names of a code are cut into blocks of about BLOCK companies by BLOCK providers, so that no task gets a code that very many names share.
+    """
+    ship(companies.sparkSession)
+    c = cut(companies.select("company_number", name_key("company_name").alias("name"), outward_code("postcode").alias("code")).where("code is not null and name <> ''"))
+    p = providers.select("provider_id", name_key("provider_name").alias("name"), F.posexplode("postcode_prefixes_list").alias("place", "code")).where("code <> '' and name <> ''")
+    p = cut(p.groupBy("provider_id", "code").agg(F.min("place").alias("place"), F.first("name").alias("name")))
+    parts = lambda df, n: df.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    shape = small(parts(c, "nc").join(parts(p, "np"), "code"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kinds = dict(c.dtypes) | dict(p.dtypes)
+    none = lambda n: F.lit(None).cast(kinds[n]).alias(n)
+    left = c.join(shape, "code").select("code", own("company_number", "nc").alias("bc"), every("np").alias("bp"), F.lit(True).alias("is_company"), "company_number", none("provider_id"), none("place"), "name")
+    right = p.join(shape, "code").select("code", every("nc").alias("bc"), own("provider_id", "np").alias("bp"), F.lit(False).alias("is_company"), none("company_number"), "provider_id", "place", "name")
+    schema = f"provider_id {kinds['provider_id']}, company_number {kinds['company_number']}, place int, ratio int"
+    near = left.unionByName(right).groupBy("code", "bc", "bp").applyInArrow(_compared(threshold), schema)
+    return near.groupBy("provider_id", "company_number").agg(F.min("place").alias("place"), F.first("ratio").alias("ratio"))
+
+
+def _in_turn(batches):
+    """Providers in order of id, each the best company that is still free."""
+    table = pa.Table.from_batches(list(batches))
+    if table.num_rows:
+        table = table.sort_by([("provider_id", "ascending"), ("ratio", "descending"), ("place", "ascending"), ("company_number", "ascending")])
+        taken, settled, rows = set(), None, []
+        for row, (provider, company) in enumerate(zip(table.column("provider_id").to_pylist(), table.column("company_number").to_pylist())):
+            if provider != settled and company not in taken:
+                taken.add(company)
+                settled = provider
+                rows.append(row)
+        yield from table.take(rows).select(["provider_id", "company_number", "ratio"]).to_batches()
+
+
+def consume(pairs: DataFrame, one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:
     """(provider_id, company_number, ratio): the pairs that result if providers choose one after the other by id.
 
-    The remaining edges are checkpointed between rounds.  The provider of least id is settled in every
-    round, and all whose companies no lesser provider wants, so rounds are few unless providers form a chain.
+    In each round every provider's best remaining pair is its proposal and a company holds the least proposer; pairs of greater ids
+    with a held company can't come about any more and go.  Remaining pairs are checkpointed between rounds; once there are no more than
+    `one_task_pairs`, one task lets the providers choose in turn, which gives the same pairs.
     """
-    left, taken = cut(pairs), None
-    while not left.isEmpty():
-        first = left.groupBy("company_number").agg(F.min("provider_id").alias("_first"))
+    left = cut(pairs)
+    while left.count() > one_task_pairs:
         best = first_by(left, "provider_id", F.desc("ratio"), F.col("place"), F.col("company_number"))
-        got = cut(best.join(first, "company_number").where("provider_id = _first").select("provider_id", "company_number", "ratio"))
-        taken = got if taken is None else taken.unionByName(got)
-        left = cut(left.join(got.select("provider_id"), "provider_id", "left_anti").join(got.select("company_number"), "company_number", "left_anti"))
-    return pairs.select("provider_id", "company_number", "ratio").limit(0) if taken is None else taken
+        held = cut(best.groupBy("company_number").agg(F.min("provider_id").alias("_holder"), F.count("*").alias("_n")))
+        if held.where("_n > 1").isEmpty():
+            return best.select("provider_id", "company_number", "ratio")
+        left = cut(left.join(held.drop("_n"), "company_number", "left").where("_holder is null or provider_id <= _holder").drop("_holder"))
+    ship(pairs.sparkSession)
+    kinds = dict(pairs.dtypes)
+    return left.select("provider_id", "company_number", "place", "ratio").coalesce(1).mapInArrow(_in_turn, ", ".join(f"{c} {kinds[c]}" for c in ("provider_id", "company_number", "ratio")))
 
 
 def fuzzy_matches(companies: DataFrame, providers: DataFrame, direct: DataFrame) -> DataFrame:

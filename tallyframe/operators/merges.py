@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import ladder
 from .grouping import first_by
 
+MOST_BANDS = 10_000
+# The figures of a filing.
 FIGURES = (
     "revenue", "employee_count", "filing_period_start", "filing_period_end", "gross_profit", "profit_before_tax", "profit_after_tax", "fixed_assets",
     "current_assets", "total_assets", "net_assets", "net_current_assets", "debtors", "creditors_within_one_year", "creditors_after_one_year",
@@ -22,13 +24,27 @@ FILED_SOURCES = ("filed_accounts_ixbrl", "filed_accounts_pdf", "filed_accounts_o
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows, and new ones whose key is new; of new rows with equal keys one stays."""
-    fresh = new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+    """Old rows, and new ones whose key is new; of new rows with equal keys the one of least values stays, column by column in their order."""
+    fresh = one_a_key(new, keys).join(old.select(*keys), keys, "left_anti")
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
+def one_a_key(new: DataFrame, keys: list[str], greatest: bool = False) -> DataFrame:
+    """One row a key, the least (or greatest) one by its other columns in order; nulls are least."""
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return new.dropDuplicates(keys)
+    pick = F.max if greatest else F.min
+    row = F.struct(*(f for c in rest for f in (F.col(c).isNotNull().alias(f"has_{c}"), F.col(c).alias(c))))
+    return new.groupBy(*keys).agg(pick(row).alias("_row")).select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in new.columns))
+
+
 def insert_replace(old: DataFrame, new: DataFrame, keys: list[str], listed: list[str] | None = None) -> DataFrame:
-    """New rows replace old ones of their key in the listed columns (all of theirs); other columns keep the old values."""
+    """New rows replace old ones of their key in the listed columns (all of theirs); other columns keep the old values.
+
+    Of new rows with equal keys the one of greatest values counts, column by column in their order, so that each key stays one row.
+    """
+    new = one_a_key(new, keys, greatest=True)
     listed = [c for c in (listed or new.columns) if c not in keys]
     right = new.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in listed), F.lit(True).alias("_new"))
     joined = old.join(right, keys, "full_outer")
@@ -109,7 +125,12 @@ def staged_summary(staged: DataFrame) -> DataFrame:
 
 
 def banded(df: DataFrame, value: str, bands: DataFrame, columns: list[str], low: str = "min_employees", high: str = "max_employees") -> DataFrame:
-    """Columns of the first band that holds a value, both ends included (an open upper end is null); null outside all bands.  Bands are a checked reference table of few rows."""
+    """Columns of the first band that holds a value, both ends included (an open upper end is null); null outside all bands.
+
+    Bands are a reference table of few rows, which goes along with each task; more than MOST_BANDS are refused.
+    """
+    if len(bands.select(low).limit(MOST_BANDS + 1).collect()) > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands")
     b = F.broadcast(bands.select(low, high, *columns))
     inside = (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) <= F.col(high)))
     return df.join(b, inside, "left").drop(low, high)

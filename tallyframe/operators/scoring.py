@@ -22,6 +22,13 @@ def excluded(members: DataFrame, lists: DataFrame) -> DataFrame:
     return members.join(lists.where("is_active").select("list_name"), "list_name", "left_semi").select("company_number").distinct()
 
 
+def not_excluded(companies: DataFrame, out: DataFrame) -> DataFrame:
+    """Companies that aren't in `out`, as NOT IN has it: a null in `out` excludes all, and a company without a number stays only if `out` is empty."""
+    state = out.agg(F.count("*").alias("_all"), F.count("company_number").alias("_known"))
+    left = companies.join(out.where("company_number is not null"), "company_number", "left_anti").join(F.broadcast(state))  # one row
+    return left.where("_all = 0 or (_all = _known and company_number is not null)").drop("_all", "_known")
+
+
 def scored(base: DataFrame) -> DataFrame:
     """Points, total and tier over verdict, service flags, ages and revenue columns."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -42,7 +49,7 @@ def tiered_targets(companies: DataFrame, matches: DataFrame, sites: DataFrame, m
     """Companies with a match and no exclusion, scored and tiered."""
     best = best_match(matches, matched_sites).withColumnsRenamed({"status": "match_status", "total_score": "match_score"})
     verdicts = current_classification(classifications).select("company_number", "verdict", F.col("source_type").alias("classification_source"), "sources_agreement")
-    base = companies.join(best, "company_number").join(excluded(exclusions, lists), "company_number", "left_anti")
+    base = not_excluded(companies.join(best, "company_number"), excluded(exclusions, lists))
     return scored(base.join(enrichment, "company_number", "left").join(verdicts, "company_number", "left").join(service_mix(best, sites), "company_number", "left"))
 
 

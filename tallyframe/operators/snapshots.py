@@ -98,29 +98,41 @@ def replace_gate(old_rows: int | None, staging: DataFrame, key: str, filled: str
 
 @dataclass
 class Versions:
-    """A table as one directory a version, with a pointer file: readers see the old version until the pointer moves."""
+    """A table as one directory a version, with numbered pointer files of which the highest counts.
+
+    A pointer is written under another name and renamed to a name that wasn't there before, so at every moment, and after a crash
+    at any, readers see the old version or the new one.
+    """
 
     root: str
 
     def current(self, spark) -> DataFrame | None:
-        path = self._path(spark, "CURRENT")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        name = spark.read.text(path.toString()).first()[0]
-        return spark.read.parquet(f"{self.root}/{name}")
+        last = self._last(spark)
+        return None if last is None else spark.read.parquet(f"{self.root}/{last[1]}")
 
     def publish(self, df: DataFrame, name: str) -> None:
-        """Write a version, then move the pointer by a rename."""
+        """Write a version, then point to it.  A version that is current already is complete, so it is left alone."""
         spark = df.sparkSession
+        last = self._last(spark)
+        if last and last[1] == name:
+            return
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        new, now = self._path(spark, "CURRENT.new"), self._path(spark, "CURRENT")
+        number = last[0] + 1 if last else 0
+        new, now = self._path(spark, f"pointers/.new-{name}"), self._path(spark, f"pointers/{number:012d}-{name}")
         fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
-        out = fs.create(new, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        fs.delete(now, False)
-        fs.rename(new, now)
+        fs.create(new, True).close()
+        if not fs.rename(new, now):
+            raise OSError(f"{now} wasn't made")
+
+    def _last(self, spark) -> tuple[int, str] | None:
+        """Number and version of the highest pointer."""
+        folder = self._path(spark, "pointers")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return None
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        found = max((n for n in names if n[:1].isdigit()), default=None)
+        return None if found is None else (int(found[:12]), found[13:])
 
     def _path(self, spark, name: str):
         return spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

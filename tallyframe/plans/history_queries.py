@@ -68,7 +68,7 @@ def _sites(spark, sf):
     """Line items as a supplier's sites."""
     li = load(spark, sf, "lineitem").join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return li.select(
-        F.col("l_suppkey").alias("provider_id"), F.lit("one").alias("provider_name"), (F.col("l_linestatus") == "O").alias("is_active"), F.concat_ws("|", "p_brand", F.concat(F.lit(" "), F.col("l_returnflag"))).alias("service_types"),
+        F.col("l_suppkey").alias("provider_id"), F.col("p_type").alias("provider_name"), (F.col("l_linestatus") == "O").alias("is_active"), F.concat_ws("|", "p_brand", F.concat(F.lit(" "), F.col("l_returnflag"))).alias("service_types"),
         F.col("l_returnflag").alias("region"), F.concat(F.lit("SW"), (F.col("l_linenumber") % 3).cast("string"), F.lit("A 1AA")).alias("postcode"), F.when(F.col("p_size") % 2 == 0, F.col("l_returnflag")).alias("local_authority"),
         F.col("l_shipdate").cast("date").alias("first_scrape_date"), F.col("l_shipdate").cast("date").alias("last_scrape_date"), F.col("l_shipdate").cast("date").alias("marked_inactive_scrape_date"),
     )
@@ -80,14 +80,15 @@ def provider_rollup(spark, sf):
 
 
 PROVIDER_ROLLUP = """
-WITH s AS (SELECT l_suppkey AS provider_id, l_linestatus = 'O' AS act, p_brand, l_returnflag, p_size, 'SW' || (l_linenumber % 3) || 'A' AS prefix, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH s AS (SELECT l_suppkey AS provider_id, p_type, l_linestatus = 'O' AS act, p_brand, l_returnflag, p_size, 'SW' || (l_linenumber % 3) || 'A' AS prefix, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey),
 v AS (SELECT DISTINCT provider_id, x FROM (SELECT provider_id, p_brand AS x FROM s WHERE act UNION ALL SELECT provider_id, l_returnflag FROM s WHERE act)),
-sv AS (SELECT provider_id, string_agg(x, ',' ORDER BY x) AS l FROM v GROUP BY 1)
-SELECT s.provider_id, 'one' AS provider_name, count(*) FILTER (WHERE act) AS active_location_count, count(*) AS total_location_count, coalesce(any_value(sv.l), '') AS service_types_list,
+sv AS (SELECT provider_id, string_agg(x, ',' ORDER BY x) AS l FROM v GROUP BY 1),
+nm AS (SELECT provider_id, p_type, row_number() OVER (PARTITION BY provider_id ORDER BY count(*) DESC, p_type) AS k FROM s GROUP BY 1, 2)
+SELECT s.provider_id, any_value(nm.p_type) AS provider_name, count(*) FILTER (WHERE act) AS active_location_count, count(*) AS total_location_count, coalesce(any_value(sv.l), '') AS service_types_list,
   coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag) FILTER (WHERE act)), ','), '') AS regions_list, coalesce(array_to_string(list_sort(list(DISTINCT prefix) FILTER (WHERE act)), ','), '') AS postcode_prefixes_list,
   coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag) FILTER (WHERE act AND p_size % 2 = 0)), ','), '') AS local_authorities_list, min(d) AS first_scrape_date, max(d) AS last_scrape_date, bool_or(act) AS is_active,
   CASE WHEN bool_or(act) THEN NULL ELSE max(d) END AS marked_inactive_scrape_date
-FROM s LEFT JOIN sv USING (provider_id) GROUP BY s.provider_id
+FROM s LEFT JOIN sv USING (provider_id) JOIN nm ON nm.provider_id = s.provider_id AND nm.k = 1 GROUP BY s.provider_id
 """
 
 

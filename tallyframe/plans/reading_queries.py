@@ -13,10 +13,12 @@ def multi_filter_page(spark, sf):
     o = load(spark, sf, "orders").where(
         reading.both(
             reading.any_of(["o_orderstatus", "o_orderpriority"], "F, 1-URGENT"),
-            reading.equals("o_orderpriority", None),
+            reading.equals("o_orderstatus", "F"),
             reading.at_least("o_totalprice", 1000.0),
             reading.year_range("o_orderdate", 1996, 2001),
-            reading.starts("o_orderpriority", None),
+            reading.starts("o_orderpriority", "1"),
+            reading.at_most("o_custkey", 10_000_000),
+            reading.equals("o_clerk", None),
         )
     )
     keys = reading.sort_keys({"price": F.col("o_totalprice"), "date": F.col("o_orderdate")}, "price", "date", True, "o_orderkey")
@@ -24,7 +26,7 @@ def multi_filter_page(spark, sf):
 
 
 MULTI_FILTER = """
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE (o_orderstatus IN ('F', '1-URGENT') OR o_orderpriority IN ('F', '1-URGENT')) AND o_totalprice >= 1000 AND year(o_orderdate) BETWEEN 1996 AND 2001
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE (o_orderstatus IN ('F', '1-URGENT') OR o_orderpriority IN ('F', '1-URGENT')) AND o_orderstatus = 'F' AND starts_with(o_orderpriority, '1') AND o_totalprice >= 1000 AND year(o_orderdate) BETWEEN 1996 AND 2001
 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 50
 """
 
@@ -61,10 +63,10 @@ LIST_ANY = "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppke
 
 def text_any(spark, sf):
     p = load(spark, sf, "part")
-    return p.where(reading.both(reading.any_text("p_type", ["STEEL", "brass"]), reading.at_most("p_size", 20))).select("p_partkey", "p_type")
+    return p.where(reading.both(reading.any_text("p_type", ["PROM", "econ"]), reading.at_most("p_size", 20))).select("p_partkey", "p_type")
 
 
-TEXT_ANY = "SELECT p_partkey, p_type FROM part WHERE (lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%') AND p_size <= 20"
+TEXT_ANY = "SELECT p_partkey, p_type FROM part WHERE (lower(p_type) LIKE '%prom%' OR lower(p_type) LIKE '%econ%') AND p_size <= 20"
 
 
 def filter_options(spark, sf):

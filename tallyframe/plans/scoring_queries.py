@@ -15,10 +15,11 @@ def _verdict():
 
 
 def tiered_scoring(spark, sf):
-    """Customers as companies: best supplier of the nation as match, ages from orders, size from spending, one segment excluded by list."""
+    """Customers as companies: the best supplier of their orders as match, ages from orders, size from spending, a tenth excluded by list."""
     customer, orders, supplier = load(spark, sf, "customer"), load(spark, sf, "orders"), load(spark, sf, "supplier")
+    bought = orders.join(load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     companies = customer.select(F.col("c_custkey").alias("company_number"), F.col("c_name").alias("company_name"), "c_nationkey", "c_mktsegment")
-    matches = customer.join(supplier.where("s_suppkey % 5 = 0"), F.col("c_nationkey") == F.col("s_nationkey")).select(
+    matches = bought.select(
         F.col("c_custkey").alias("company_number"),
         F.col("s_suppkey").alias("provider_id"),
         F.element_at(F.array(F.lit("auto_confirmed"), F.lit("needs_review"), F.lit("user_rejected")), ((F.col("c_custkey") + F.col("s_suppkey")) % 3 + 1).cast("int")).alias("status"),
@@ -41,7 +42,7 @@ WITH verdicts AS (
   SELECT c_custkey AS company_number, ['Majority domiciliary', 'Mixed_domiciliary_supported', 'Majority Supported living', 'Mixed_residential_domiciliary', 'likely domicilairy care', 'Unable to classify'][1 + c_custkey % 6] AS verdict FROM customer
 ), m AS (
   SELECT c_custkey AS company_number, s_suppkey AS provider_id, ['auto_confirmed', 'needs_review', 'user_rejected'][1 + (c_custkey + s_suppkey) % 3] AS status, s_suppkey % 11 + 80 AS total_score
-  FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey % 5 = 0
+  FROM (SELECT DISTINCT o_custkey AS c_custkey, l_suppkey AS s_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 ), best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_number ORDER BY CASE status WHEN 'auto_confirmed' THEN 2 ELSE 3 END, total_score DESC, provider_id) AS k FROM m WHERE status <> 'user_rejected') WHERE k = 1
 ), e AS (

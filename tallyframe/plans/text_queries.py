@@ -89,11 +89,18 @@ VERDICT_LABELS = "SELECT o_orderkey, ['Majority domiciliary', 'Mixed_residential
 
 
 def json_extract(spark, sf):
+    """Fields, parts and lengths of lists that two events of three have, and the kind of each value."""
     e = load(spark, sf, "events")
-    return e.select("event_id", nested.field("props", "$.k").cast("long").alias("k"), nested.part("props", "$.none").alias("none"), nested.list_length("props", "$.k").cast("long").alias("items"), nested.json_kind("props").alias("kind"))
+    n = F.col("event_id") % 3
+    doc = F.concat(F.lit('{"p":'), F.col("props"), F.when(n == 1, ',"l":[1,{"a":2}]}').when(n == 2, ',"l":[]}').otherwise("}"))
+    values = F.element_at(F.array(*map(F.lit, ["[1]", '{"a": 1}', '"x"', "-1.5", "true", "null"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", nested.field(doc, "$.p.k").cast("long").alias("k"), nested.part(doc, "$.l").alias("part"), nested.list_length(doc, "$.l").cast("long").alias("items"), nested.json_kind("props").alias("kind"), nested.json_kind(values).alias("other"))
 
 
-JSON_EXTRACT = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '[]' AS none, CAST(0 AS BIGINT) AS items, json_type(props) AS kind FROM events"
+JSON_EXTRACT = """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_id % 3 WHEN 1 THEN '[1,{"a":2}]' ELSE '[]' END AS part, CASE event_id % 3 WHEN 1 THEN 2 ELSE 0 END::BIGINT AS items, json_type(props) AS kind,
+  ['ARRAY', 'OBJECT', 'VARCHAR', 'NUMBER', 'BOOLEAN', 'NULL'][1 + event_id % 6] AS other FROM events
+"""
 
 
 def json_array_pick(spark, sf):
@@ -161,21 +168,43 @@ SELECT grp, page_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number()
 """
 
 
+SET_IN = ["", "Balance sheet 2020 2019 Turnover 1,234 2,345 ", "Notes to the accounts: average number of employees 12 ", "In our opinion the basis for opinion ", "£'000 debtors 123456789012345678901234567890123 ", "Strategic report on the public benefit ", "Notes to the financial statements 1,000 2,000 3,000 4,000 ", "the accounting policies, section 444 "]
+
+
 def page_filter(spark, sf):
-    """Keep rules over every document, into some of which accounts are set."""
+    """Keep rules over every whole document, into most of which accounts are set."""
     d = load(spark, sf, "documents")
-    extra = F.element_at(F.array(*map(F.lit, ["", "Balance sheet 2020 2019 Turnover 1,234 2,345", "Notes to the accounts: average number of employees 12", "In our opinion the basis for opinion", "£'000 debtors 123456789012345678901234567890123"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = d.select("doc_id", F.concat(extra, F.lit(" "), F.regexp_replace("text", r"[^a-z ]", "")).alias("t")).withColumns(pages.page_signals("t"))
+    extra = F.element_at(F.array(*map(F.lit, SET_IN)), (F.col("doc_id") % len(SET_IN) + 1).cast("int"))
+    rows = d.select("doc_id", F.concat(extra, F.coalesce("text", F.lit(""))).alias("t")).withColumns(pages.page_signals("t"))
     score, reason = pages.page_verdict()
-    return rows.select("doc_id", score.cast("long").alias("score"), reason.alias("reason"), pages.exempt("t").alias("exempt"), pages.amount("t", "revenue").alias("revenue"))
+    return rows.select("doc_id", score.cast("long").alias("score"), reason.alias("reason"), pages.page_kept(score).alias("kept"), pages.exempt("t").alias("exempt"), pages.amount("t", "revenue").alias("revenue"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _says(pattern: str) -> str:
+    return f"regexp_matches(t, {_quoted(pattern)})"
+
+
+def _times(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, {_quoted(pattern)}))"
 
 
-PAGE_FILTER = r"""
-WITH t AS (SELECT doc_id, doc_id % 5 AS k, ['', 'Balance sheet 2020 2019 Turnover 1,234 2,345', 'Notes to the accounts: average number of employees 12', 'In our opinion the basis for opinion', '£''000 debtors 123456789012345678901234567890123'][1 + doc_id % 5] || ' ' || regexp_replace(text, '[^a-z ]', '', 'g') AS t FROM documents),
-s AS (SELECT *, length(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(length(t), 1) AS density FROM t)
-SELECT doc_id, CAST(CASE k WHEN 1 THEN 100 WHEN 2 THEN 75 WHEN 3 THEN CASE WHEN density < 0.04 THEN -90 END WHEN 4 THEN 55 ELSE CASE WHEN trim(t) = '' THEN 0 ELSE -50 END END AS BIGINT) AS score,
-  CASE k WHEN 1 THEN 'primary_statement' WHEN 2 THEN 'notes_employee_count' WHEN 3 THEN 'audit_opinion' WHEN 4 THEN 'pound_thous_table' ELSE CASE WHEN trim(t) = '' THEN 'empty' ELSE 'no_numeric_anchors' END END AS reason, FALSE AS exempt,
-  CAST(CASE WHEN k = 1 THEN 12342345 END AS DOUBLE) AS revenue FROM s
+PAGE_FILTER = f"""
+WITH t AS (SELECT doc_id, [{', '.join(map(_quoted, SET_IN))}][1 + doc_id % {len(SET_IN)}] || coalesce(text, '') AS t FROM documents),
+a AS (SELECT *, length(t) AS n, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits, {_times(pages.COMMA_NUMBER)} AS commas, {_times(pages.LINE_ITEMS)} AS items, {_says(pages.STATEMENTS)} AS st, {_says(pages.NOTES)} AS notes, {_says(pages.STAFF_NUMBER)} AS staff,
+  {_says(pages.YEAR_PAIR)} AS years, {_says(pages.POUND_THOUSANDS)} AS thousands, {_says(pages.AUDIT)} AS audit, {_says(pages.REPORT)} AS report, {_says(pages.POLICY)} AS policy, {_says(pages.CONTENTS)} AS contents, {_says(pages.COVER)} AS cover FROM t),
+s AS (SELECT *, digits / greatest(n, 1) AS den, least(commas, 8) * 5 + least(items, 6) * 4 + CAST(trunc(digits / greatest(n, 1) * 100) AS INT) + 30 * st::INT + 20 * notes::INT + 10 * years::INT + 10 * thousands::INT - 30 * audit::INT - 25 * report::INT - 15 * policy::INT AS total FROM a),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(t, '\S') THEN 'empty' WHEN (contents AND n < 600) OR (cover AND n < 500 AND commas = 0) THEN 'toc_or_cover' WHEN audit AND commas <= 1 AND den < 0.04 AND NOT st THEN 'audit_opinion'
+  WHEN report AND commas = 0 AND den < 0.03 AND NOT st AND items < 2 THEN 'strategic_prose' WHEN policy AND commas = 0 AND items < 2 AND NOT st AND den < 0.025 THEN 'policy_only_prose' WHEN st AND commas >= 2 THEN 'primary_statement' WHEN st AND items >= 2 AND den > 0.04 THEN 'primary_statement_numeric'
+  WHEN notes AND commas >= 4 THEN 'notes_numeric' WHEN notes AND items >= 2 AND commas >= 2 THEN 'notes_lineitems' WHEN notes AND staff THEN 'notes_employee_count' WHEN commas >= 4 THEN 'comma_dense' WHEN years AND items >= 1 AND digits >= 40 THEN 'year_pair_table'
+  WHEN thousands AND items >= 1 AND digits >= 30 THEN 'pound_thous_table' WHEN commas >= 2 AND items >= 2 THEN 'prose_with_numbers' WHEN commas = 0 AND NOT years AND NOT thousands THEN 'no_numeric_anchors' ELSE 'score_fallback' END AS reason FROM s),
+k AS (SELECT *, CASE reason WHEN 'empty' THEN 0 WHEN 'toc_or_cover' THEN -100 WHEN 'audit_opinion' THEN -90 WHEN 'strategic_prose' THEN -80 WHEN 'policy_only_prose' THEN -70 WHEN 'primary_statement' THEN 100 WHEN 'primary_statement_numeric' THEN 95 WHEN 'notes_numeric' THEN 90 WHEN 'notes_lineitems' THEN 80
+  WHEN 'notes_employee_count' THEN 75 WHEN 'comma_dense' THEN 70 WHEN 'year_pair_table' THEN 60 WHEN 'pound_thous_table' THEN 55 WHEN 'prose_with_numbers' THEN 50 WHEN 'no_numeric_anchors' THEN -50 ELSE total END AS score FROM r)
+SELECT doc_id, CAST(score AS BIGINT) AS score, reason, score >= 30 AS kept, {' OR '.join(map(_says, pages.EXEMPT_LOOSE))} AS exempt,
+  TRY_CAST(regexp_replace(trim(coalesce({', '.join(f"CASE WHEN {_says(p)} THEN regexp_extract(t, {_quoted(p)}, 1) END" for p in pages.AMOUNTS["revenue"])})), '[,\s]', '', 'g') AS DOUBLE) AS revenue FROM k
 """
 
 

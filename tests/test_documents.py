@@ -43,9 +43,60 @@ def test_salvage():
 def test_profiles(spark):
     doc = '{"company_number":"1","company_status":"voluntary-arrangement","type":"private-unlimited-nsc","sic_codes":["88100","87300"],"registered_office_address":{"locality":"Leeds","postal_code":"LS1"},"accounts":{"accounting_reference_date":{"day":"31","month":"3"}},"date_of_creation":"2015-02-01"}'
     row = spark.createDataFrame([(doc,)], "d string").select(*(v.alias(k) for k, v in profiles.profile_columns("d").items())).first()
-    assert (row.company_status, row.company_type, row.sic_code_2, row.sic_code_3, row.registered_address) == ("Voluntary Arrangement", "Private unlimited nsc", "87300", None, "Leeds, LS1")
-    assert (row.accounts_ref_day, row.incorporation_date, row.is_active) == (31, dt.date(2015, 2, 1), False)
-    note = profiles.account_note(F.lit("partial_no_revenue"), F.lit("partial"), F.lit(True), F.lit(30))
-    assert spark.range(1).select(note).first()[0] == "balance sheet only; profit and loss account not delivered; accounts older than two years"
-    tier = profiles.gap_tier(F.lit(False), profiles.independence(F.lit("A Ltd"), F.lit("individual"), F.lit(None).cast("boolean"), F.lit(None).cast("string"), ["group"]), F.lit(3), F.lit(1))
-    assert spark.range(1).select(tier).first()[0] == "gap 1"
+    assert (row.company_status, row.company_type, row.sic_code_2, row.sic_code_3, row.registered_address) == ("Voluntary Arrangement", "private-unlimited-nsc", "87300", None, "Leeds")
+    assert (row.accounts_ref_day, row.incorporation_date, row.is_active, row.record_source) == (31, dt.date(2015, 2, 1), True, "api")
+
+
+STATUSES = [
+    ("active", None, "Active"),
+    ("active", "active-proposal-to-strike-off", "Active - Proposal to Strike off"),
+    ("receivership", None, "RECEIVERSHIP"),
+    ("administration", None, "In Administration"),
+    ("insolvency-proceedings", None, "Insolvency proceedings"),
+    ("dissolved", "active-proposal-to-strike-off", "Dissolved"),
+    (None, None, None),
+]
+
+
+def test_status_labels(spark):
+    rows = spark.createDataFrame([(c, d) for c, d, _ in STATUSES], "c string, d string").select(profiles.status_label("c", "d")).collect()
+    assert [r[0] for r in rows] == [want for *_, want in STATUSES]
+
+
+#: directors known, active, average age, revenue source, filing id, revenue, employees; the note
+NOTES = [
+    (None, 0, None, "no_recent_filing", None, None, None, "Directors not fetched; No accounts filed"),
+    ("[]", 0, None, "pdf_no_text_layer", "f", None, None, "No active directors; Scanned PDF accounts - figures pending OCR"),
+    ("[1]", 1, None, None, None, None, None, "No director dates of birth; Accounts not fetched"),
+    ("[1]", 1, 50, None, "f", None, None, "Accounts found but could not be read"),
+    ("[1]", 1, 50, None, "f", None, 9, "Revenue not in filed accounts"),
+    ("[1]", 1, 50, "filed_accounts_pdf", "f", 5.0, 9, None),
+]
+
+
+def test_account_notes(spark):
+    rows = spark.createDataFrame([n[:-1] for n in NOTES], "k string, n int, a int, s string, f string, revenue double, employee_count int")
+    out = rows.select(profiles.account_note("k", "n", "a", "s", "f", "revenue", ("employee_count", "revenue"))).collect()
+    assert [r[0] for r in out] == [n[-1] for n in NOTES]
+
+
+#: name, owner, charity, brand, type; decision and reason
+INDEPENDENT = [
+    ("A Ltd", "Organisation", None, None, "Private Limited Company", "include", "company_type=Private Limited Company"),
+    ("A Ltd", "Individual", "1", "b", None, "exclude", "ownership_type=Individual"),
+    ("A Ltd", "Organisation", "77", "b", None, "exclude", "has charity_number=77"),
+    ("Some Borough Council Trust", None, "", "b", None, "exclude", "name contains 'trust'"),
+    ("A Ltd", None, None, "Chain", "x", "exclude", "franchise/chain brand=Chain"),
+    ("A Ltd", None, None, None, "PRI/LBG/NSC (Private)", "exclude", "company_type starts with PRI/LBG/NSC"),
+    ("A Ltd", None, None, None, "Limited Partnership", "review", "company_type=Limited Partnership (rare commercial form)"),
+    ("A Ltd", None, None, None, "", "review", "no company_type available"),
+    ("A Ltd", None, None, None, "Odd", "review", "unknown company_type=Odd"),
+]
+
+
+def test_independence_and_gaps(spark):
+    rows = spark.createDataFrame([r[:5] for r in INDEPENDENT], "n string, o string, c string, b string, t string")
+    out = rows.select(*profiles.independence("n", "o", "c", "b", "t")).collect()
+    assert [tuple(r) for r in out] == [r[5:] for r in INDEPENDENT]
+    gaps = spark.createDataFrame([("Domiciliary Care + Supported Living", 70.0, 1), ("Domiciliary Care", 60.0, None), ("Domiciliary Care", None, 1), ("Domiciliary Care", 59.5, 0), ("x", 70.0, 1)], "c string, a double, n int")
+    assert [r[0] for r in gaps.select(profiles.gap_tier("c", "a", "n")[0]).collect()] == ["Tier 3", "Tier 1", "Tier 1", "Tier 2", "Excluded"]
