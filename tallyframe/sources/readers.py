@@ -78,10 +78,13 @@ def read_staged(spark: SparkSession, path: str, schema: str = STAGED_RESPONSE) -
 
 
 def torn_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bad, last_bad): malformed lines a file, and whether the only one is its last, which a writer that died leaves; others are corruption."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    bad = F.transform("lines", lambda x: F.try_parse_json(x).isNull())
-    return lines.select("file", F.size(F.filter(bad, lambda b: b)).alias("bad"), F.coalesce(F.try_element_at(bad, F.lit(-1)), F.lit(False)).alias("last_bad"))
+    """(file, bad, last_bad): malformed lines a file, and whether its last line is one, which a writer that died leaves; others are corruption.
+
+    Lines are read split by split; a line's place is that of its split in the file, then its place in the split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where("trim(value) <> ''")
+    marked = lines.select("file", F.struct("block", F.monotonically_increasing_id().alias("at")).alias("place"), F.try_parse_json("value").isNull().alias("broken"))
+    return marked.groupBy("file").agg(F.count_if("broken").cast("int").alias("bad"), F.max_by("broken", "place").alias("last_bad"))
 
 
 def repaired(spark: SparkSession, path: str, schema: str = STAGED_RESPONSE) -> DataFrame:
@@ -94,6 +97,12 @@ def repaired(spark: SparkSession, path: str, schema: str = STAGED_RESPONSE) -> D
     return whole.select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
+def read_inferred(spark: SparkSession, path: str, wanted: str | None = None) -> DataFrame:
+    """JSON lines whose columns are found from the lines themselves; with `wanted`, columns that no line has come as typed nulls."""
+    found = spark.read.json(path)
+    return with_columns(found, wanted) if wanted else found
+
+
 def zip_members(files: DataFrame, folder: str = "accounts/", endings: tuple[str, ...] = (".xhtml", ".html")) -> DataFrame:
     """(path, member, content): the first member in a folder with one of the endings, of each archive in a binaryFile frame."""
     ship(files.sparkSession)
@@ -230,6 +239,32 @@ def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
     return spark.table(name) if spark.catalog.tableExists(name) else empty_table(spark, schema)
 
 
+def table_columns(spark: SparkSession, name: str) -> list[tuple[str, str]]:
+    """Columns and types of a catalog table, none where it doesn't exist."""
+    return spark.table(name).dtypes if spark.catalog.tableExists(name) else []
+
+
+def from_header(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    """An empty table with the columns of a file that has only a header; text unless `kinds` says otherwise."""
+    names = spark.read.csv(path, header=True).columns
+    return empty_table(spark, ", ".join(f"`{n}` {(kinds or {}).get(n, 'string')}" for n in names))
+
+
+def migrated(df: DataFrame, renames: dict[str, str], schema: str, references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """A table of an older shape in the present one: columns renamed where only the old name is there, missing ones added as typed nulls.
+
+    `references` (column to a frame and its key) sets values that name no row of the other table to null.
+    """
+    for old, new in renames.items():
+        if old in df.columns:
+            df = df.withColumnRenamed(old, new) if new not in df.columns else df.withColumn(new, F.coalesce(new, old)).drop(old)
+    df = with_columns(df, schema)
+    for column, (other, key) in (references or {}).items():
+        known = other.select(F.col(key).alias("_known")).where("_known is not null").distinct()
+        df = df.join(known, F.col(column) == F.col("_known"), "left").withColumn(column, F.col("_known")).drop("_known")
+    return df
+
+
 def with_columns(df: DataFrame, schema: str) -> DataFrame:
     """Additive migration: missing columns come as typed nulls, after those that are there."""
     wanted = T._parse_datatype_string(schema)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.merges import insert_replace
 
 
-def write_csv(df: DataFrame, path: str, order: list | None = None, single: bool = True) -> int:
-    """CSV with a header, in an order if one is given, as one part file unless told otherwise; returns the row count."""
+def write_csv(df: DataFrame, path: str, order: list | None = None, single: bool = False) -> int:
+    """CSV with a header, in an order if one is given, as part files in that order; `single` gives one file, which one task writes.  Returns the row count."""
     out = df.orderBy(*order) if order else df
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return df.sparkSession.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in df.columns), escape='"', multiLine=True).count()
@@ -46,12 +46,22 @@ def import_bundle(current: dict[str, DataFrame], bundle: dict[str, DataFrame], k
     return {n: df if replace or n not in current else insert_replace(current[n], df, keys[n]) for n, df in bundle.items()} | {n: df for n, df in current.items() if n not in bundle}
 
 
+def compact(spark: SparkSession, path: str, target: str, files: int) -> int:
+    """A table of many small files written anew as about `files` ones to a new folder, checked by row count; the old folder stays until the caller moves a pointer."""
+    before = spark.read.parquet(path)
+    before.repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    rows, now = before.count(), spark.read.parquet(target).count()
+    if rows != now:
+        raise ValueError(f"{target} has {now} rows, {path} {rows}")
+    return now
+
+
 def write_staged(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
 def write_sqlite(df: DataFrame, path: str, table: str, batch: int = 10_000) -> int:
-    """A local database file on the driver's disk, streamed partition by partition."""
+    """A local database file on the driver's disk, streamed partition by partition: for exports that one machine is to hold, as the format is one file."""
     names = ", ".join(f'"{c}"' for c in df.columns)
     with sqlite3.connect(path) as con:
         con.execute(f'DROP TABLE IF EXISTS "{table}"')
