@@ -14,7 +14,7 @@ from .grouping import first_by
 
 
 def local_members(segments) -> Column:
-    """Local names of the members in texts such as 'explicitMember core:SomeDimension core:Member'; blank ones have none."""
+    """Local names of the members: of each text the third word on, without the prefix; a blank text names none."""
     last = lambda s: F.element_at(F.split(F.element_at(F.split(F.trim(s), r"\s+", 3), -1), ":"), -1)
     return F.transform(F.filter(col(segments), lambda s: F.trim(F.coalesce(s, F.lit(""))) != ""), last)
 

@@ -197,14 +197,14 @@ WITH t AS (SELECT doc_id, [{', '.join(map(_quoted, SET_IN))}][1 + doc_id % {len(
 a AS (SELECT *, length(t) AS n, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits, {_times(pages.COMMA_NUMBER)} AS commas, {_times(pages.LINE_ITEMS)} AS items, {_says(pages.STATEMENTS)} AS st, {_says(pages.NOTES)} AS notes, {_says(pages.STAFF_NUMBER)} AS staff,
   {_says(pages.YEAR_PAIR)} AS years, {_says(pages.POUND_THOUSANDS)} AS thousands, {_says(pages.AUDIT)} AS audit, {_says(pages.REPORT)} AS report, {_says(pages.POLICY)} AS policy, {_says(pages.CONTENTS)} AS contents, {_says(pages.COVER)} AS cover FROM t),
 s AS (SELECT *, digits / greatest(n, 1) AS den, least(commas, 8) * 5 + least(items, 6) * 4 + CAST(trunc(digits / greatest(n, 1) * 100) AS INT) + 30 * st::INT + 20 * notes::INT + 10 * years::INT + 10 * thousands::INT - 30 * audit::INT - 25 * report::INT - 15 * policy::INT AS total FROM a),
-r AS (SELECT *, CASE WHEN NOT regexp_matches(t, '\S') THEN 'empty' WHEN (contents AND n < 600) OR (cover AND n < 500 AND commas = 0) THEN 'toc_or_cover' WHEN audit AND commas <= 1 AND den < 0.04 AND NOT st THEN 'audit_opinion'
+r AS (SELECT *, CASE WHEN NOT regexp_matches(t, '\\S') THEN 'empty' WHEN (contents AND n < 600) OR (cover AND n < 500 AND commas = 0) THEN 'toc_or_cover' WHEN audit AND commas <= 1 AND den < 0.04 AND NOT st THEN 'audit_opinion'
   WHEN report AND commas = 0 AND den < 0.03 AND NOT st AND items < 2 THEN 'strategic_prose' WHEN policy AND commas = 0 AND items < 2 AND NOT st AND den < 0.025 THEN 'policy_only_prose' WHEN st AND commas >= 2 THEN 'primary_statement' WHEN st AND items >= 2 AND den > 0.04 THEN 'primary_statement_numeric'
   WHEN notes AND commas >= 4 THEN 'notes_numeric' WHEN notes AND items >= 2 AND commas >= 2 THEN 'notes_lineitems' WHEN notes AND staff THEN 'notes_employee_count' WHEN commas >= 4 THEN 'comma_dense' WHEN years AND items >= 1 AND digits >= 40 THEN 'year_pair_table'
   WHEN thousands AND items >= 1 AND digits >= 30 THEN 'pound_thous_table' WHEN commas >= 2 AND items >= 2 THEN 'prose_with_numbers' WHEN commas = 0 AND NOT years AND NOT thousands THEN 'no_numeric_anchors' ELSE 'score_fallback' END AS reason FROM s),
 k AS (SELECT *, CASE reason WHEN 'empty' THEN 0 WHEN 'toc_or_cover' THEN -100 WHEN 'audit_opinion' THEN -90 WHEN 'strategic_prose' THEN -80 WHEN 'policy_only_prose' THEN -70 WHEN 'primary_statement' THEN 100 WHEN 'primary_statement_numeric' THEN 95 WHEN 'notes_numeric' THEN 90 WHEN 'notes_lineitems' THEN 80
   WHEN 'notes_employee_count' THEN 75 WHEN 'comma_dense' THEN 70 WHEN 'year_pair_table' THEN 60 WHEN 'pound_thous_table' THEN 55 WHEN 'prose_with_numbers' THEN 50 WHEN 'no_numeric_anchors' THEN -50 ELSE total END AS score FROM r)
 SELECT doc_id, CAST(score AS BIGINT) AS score, reason, score >= 30 AS kept, {' OR '.join(map(_says, pages.EXEMPT_LOOSE))} AS exempt,
-  TRY_CAST(regexp_replace(trim(coalesce({', '.join(f"CASE WHEN {_says(p)} THEN regexp_extract(t, {_quoted(p)}, 1) END" for p in pages.AMOUNTS["revenue"])})), '[,\s]', '', 'g') AS DOUBLE) AS revenue FROM k
+  TRY_CAST(regexp_replace(trim(coalesce({', '.join(f"CASE WHEN {_says(p)} THEN regexp_extract(t, {_quoted(p)}, 1) END" for p in pages.AMOUNTS["revenue"])})), '[,\\s]', '', 'g') AS DOUBLE) AS revenue FROM k
 """
 
 

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -26,77 +27,60 @@ _TOP = re.compile(r"(?:^|;)\s*top\s*:\s*([^;]+)")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-class _Rows(HTMLParser):
-    """Collects the text of table rows and of blocks that hold no further block.
+class _Page(HTMLParser):
+    """A page as a list of elements, each with its tag, its parent's place in the list and its height, and the pieces of visible text with the element that each is in."""
 
-    Each open element is [tag, parent's number, style top, texts, has a row inside].  Sibling blocks at the same height are one row.
-    """
-
-    def __init__(self):
+    def __init__(self, text: str):
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []
-        self.count = 0
-        self.rows: list[str] = []
-        self.last: tuple | None = None
-        self.hidden = 0
+        self.tag, self.parent, self.height = [""], [0], [None]
+        self.pieces: list[tuple[int, str]] = []
+        self.at = 0
+        self.feed(text)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            return
-        if tag in ("script", "style"):
-            self.hidden += 1
-        if tag in ROW_TAGS and (tag == "tr" or not self._inside_row()):
-            for above in self.open:
-                if above[0] in ROW_TAGS and (above[0] != "tr" or tag == "tr"):
-                    above[4] = True
-        self.count += 1
-        top = _TOP.search(dict(attrs).get("style") or "")
-        self.open.append([tag, self.open[-1][5] if self.open else 0, top and top[1].strip(), [], False, self.count])
-
-    def _inside_row(self) -> bool:
-        return any(e[0] == "tr" for e in self.open)
+        if tag not in _VOID:
+            found = _TOP.search(dict(attrs).get("style") or "")
+            self.tag.append(tag)
+            self.parent.append(self.at)
+            self.height.append(found and found[1].strip())
+            self.at = len(self.tag) - 1
 
     def handle_endtag(self, tag):
-        if not any(e[0] == tag for e in self.open):
-            return
-        while self.open:
-            element = self.open.pop()
-            if element[0] in ("script", "style"):
-                self.hidden -= 1
-            self._finish(element)
-            if element[0] == tag:
-                return
-
-    def _finish(self, element):
-        tag, parent, top, texts, outer, _ = element
-        if tag not in ROW_TAGS or outer or (tag != "tr" and self._inside_row()):
-            if self.open and tag not in ROW_TAGS or (self.open and self._inside_row()):
-                self.open[-1][3].extend(texts)
-            return
-        text = " ".join(" ".join(texts).split())
-        place = (parent, top) if top else None
-        if place and place == self.last:
-            self.rows[-1] = f"{self.rows[-1]} {text}".strip()
-        else:
-            self.rows.append(text)
-        self.last = place
+        ended = next((k for k in self.upward(self.at) if self.tag[k] == tag), None)
+        if ended is not None:
+            self.at = self.parent[ended]
 
     def handle_data(self, data):
-        if self.open and not self.hidden:
-            self.open[-1][3].append(data)
-
-    def close(self):
-        super().close()
-        while self.open:
-            self._finish(self.open.pop())
+        if not any(self.tag[k] in ("script", "style") for k in self.upward(self.at)):
+            self.pieces.append((self.at, data))
+
+    def upward(self, k: int) -> Iterator[int]:
+        """An element and what it lies in, the page itself left out."""
+        while k:
+            yield k
+            k = self.parent[k]
+
+    def owner(self, k: int) -> int | None:
+        """The row that an element's text belongs to: the nearest table row, else the nearest block."""
+        blocks = [j for j in self.upward(k) if self.tag[j] in ROW_TAGS]
+        return next((j for j in blocks if self.tag[j] == "tr"), blocks[0] if blocks else None)
+
+    def rows(self) -> list[str]:
+        """A table row without a further one in it, or a block outside table rows without a further block, is a row; neighbours in one element at one height are one."""
+        own = [k for k in range(1, len(self.tag)) if self.tag[k] in ROW_TAGS]
+        outer = {j for k in own for j in self.upward(self.parent[k]) if self.tag[j] != "tr" or self.tag[k] == "tr"}
+        texts: dict[int, list[str]] = {k: [] for k in own if k not in outer and self.owner(k) == k}
+        for k, piece in self.pieces:
+            texts.get(self.owner(k), []).append(piece)
+        line = lambda k: (self.parent[k], self.height[k]) if self.height[k] else k
+        words = [" ".join(" ".join(t for k in same for t in texts[k]).split()) for _, same in groupby(texts, key=line)]
+        return [w for w in words if w]
 
 
 def rows_of_html(text: str | None) -> list[str]:
     """Visible rows of a page in order; a null page has none."""
-    parser = _Rows()
-    parser.feed(text or "")
-    parser.close()
-    return [r for r in parser.rows if r]
+    return _Page(text or "").rows()
 
 
 @F.pandas_udf(ArrayType(StringType()))
