@@ -4,9 +4,11 @@
     digest of the set, its size, and 32 band keys of 4 densified bins each.
     Two sets of Jaccard similarity 0.8 share no band with probability 5e-8.
 2.  Equal sets fall into one class by digest; only class representatives go on.
-3.  In each bucket every member is compared with one centre (a star), on full sets.
+3.  In each bucket every member is compared with a centre, on full sets.  A star has two levels, so that no bucket and no
+    centre is more than a small share of one task's rows however many members it has: a bucket's members are dealt
+    by hash into SPLIT parts, each with its own centre, and these centres have one centre in turn.
     Members of a bucket that are in several components after that are compared
-    exactly, in blocks of bounded size; only links leave a block.
+    exactly, in blocks bounded by rows and by bytes; one link for each query and component leaves a block.
 4.  Components of the links give the groups.
 """
 
@@ -24,7 +26,8 @@ from .vectext import mix, scan_words, shingle_hashes, slices_of
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-BLOCK = 128
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20  # rows of a side of a block, and shingles that it should hold at most
+SPLIT, SALTS = 1024, 16  # parts of a bucket with a centre each; copies of a small side that is joined with hot keys
 _U = np.uint64
 _TOP = _U(2**64 - 1)
 _ATTEMPTS = np.random.Generator(np.random.PCG64(7)).integers(0, BINS, (4 * BINS, BINS))
@@ -144,26 +147,38 @@ def _blocked(num: int, den: int):
             n = hi - lo
             hits = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, int)
             both = np.bincount(hits, minlength=len(rows))
-            ok = (den * both >= num * (sizes[q] + sizes[rows] - both)) & (comps[rows] != comps[q])
-            u += [int(ids[q])] * int(ok.sum())
-            v += [int(x) for x in ids[rows[ok]]]
+            ok = rows[(den * both >= num * (sizes[q] + sizes[rows] - both)) & (comps[rows] != comps[q])]
+            ok = ok[np.unique(comps[ok], return_index=True)[1]]  # joining a component once is enough
+            u += [int(ids[q])] * len(ok)
+            v += ids[ok].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on `key` where many rows of `left` may share one; `right` has a row a key and goes along SALTS times."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(right.select("*", salt), [key, "salt"], how).drop("salt")
+
+
 def _star(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (key, id): the edges from each bucket's centre, its least id, to its other members, and the members without the centres."""
-    centres = members.groupBy("key").agg(F.min("id").alias("centre"))
-    joined = members.join(centres, "key").where("id <> centre")
-    return joined.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), joined.select("key", "id")
+    """members (key, id): the edges of each bucket's two-level star, and the members without the bucket's least id."""
+    part = F.pmod(F.xxhash64("id"), F.lit(SPLIT)).cast("int").alias("part")
+    dealt = members.select("key", part, "id")
+    inner = dealt.groupBy("key", "part").agg(F.min("id").alias("centre"))
+    centres = inner.groupBy("key").agg(F.min("centre").alias("u"))
+    outer = inner.join(centres, "key").where("centre <> u").select("key", "u", F.col("centre").alias("v"))
+    near = dealt.join(inner, ["key", "part"]).where("id <> centre").select("key", F.col("centre").alias("u"), F.col("id").alias("v"))
+    arcs = cut(near.unionByName(outer))
+    return arcs.select("u", "v").distinct(), arcs.select("key", F.col("v").alias("id"))
 
 
 def _several(members: DataFrame, components: DataFrame) -> DataFrame:
     """(key, id, component) of buckets that hold several components."""
-    named = members.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = cut(members.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return named.join(keys, "key", "left_semi")
+    return _salted(named, keys, "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -179,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = cut(slim.mapInArrow(_signatures(size), "id long, n long, digest binary, keys array<long>"))
     full = marks.where("n > 0 and id is not null")
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = full.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))  # equal sets have equal keys
+    reps = full.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("n").alias("n"))  # equal sets have equal keys
     rows = reps.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     members = cut(rows.join(shared, "key", "left_semi"))
@@ -222,31 +237,41 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _in_blocks(rest: DataFrame, components: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between components that share a bucket, in blocks of about BLOCK by BLOCK members.
+    """Links between components that share a bucket, in blocks of about BLOCK by BLOCK members, of less where sets are large.
 
     In each bucket one component has the most members.  The others' members are queries against all members of that
     component, once however many buckets they share, and against each other inside the bucket.
     """
     per = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     home = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"))
-    others = cut(rest.join(home, "key").where("component <> home"))
-
-    asked = others.select(F.col("home").alias("key"), "id", "component").distinct()
-    asking = asked.groupBy("key").agg(F.count("*").alias("m"))
-    held = asking.join(components.select(F.col("component").alias("key"), "node"), "key", "left").select("key", F.coalesce("node", "key").alias("id"), F.col("key").alias("component"))
-    shape = asking.join(held.groupBy("key").agg(F.count("*").alias("n")), "key")
+    size = sets.select("id", F.expr("octet_length(hashes) div 8").alias("size"))
+    others = cut(_salted(rest, home, "key").where("component <> home").join(size, "id"))
+
+    asked = others.select(F.col("home").alias("key"), "id", "component", "size").distinct()
+    asking = _shape(asked, "m")
+    named = components.select(F.col("component").alias("key"), F.col("node").alias("id"))
+    alone = asking.select("key", F.col("key").alias("id"))  # a component of one is in no link
+    held = _salted(named, asking.select("key"), "key", "left_semi").unionByName(alone).distinct().join(size, "id").select("key", "id", F.col("key").alias("component"), "size")
+    shape = asking.join(_shape(held, "n"), "key")
     links = _compared(held, asked, shape, sets, num, den)
 
-    inside = others.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    several = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    inside = _shape(others, "n").join(several, "key", "left_semi").withColumn("m", F.col("n"))
     return links.unionByName(_compared(others, others, inside, sets, num, den)).distinct()
 
 
+def _shape(members: DataFrame, name: str) -> DataFrame:
+    """Into how many blocks each key's members go."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    return members.groupBy("key").agg(blocks.alias(name))
+
+
 def _compared(members: DataFrame, queries: DataFrame, shape: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between queries and members of a key (n members, m queries), every block of queries with every block of members."""
-    shape = shape.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("qb"))
+    """Links between queries and members of a key (n blocks of members, m of queries), every block of queries with every block of members."""
+    shape = shape.select("key", "n", "m")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    alone = F.col("nb") + F.col("qb") == 2 if queries is members else F.lit(False)  # a row goes once where its block meets itself
-    data = members.join(shape, "key").select("key", "id", "component", own("nb").alias("b"), blocks("qb").alias("q"), alone.alias("query"), F.lit(True).alias("held"))
-    asking = queries.join(shape, "key").where(~alone).select("key", "id", "component", blocks("nb").alias("b"), own("qb").alias("q"), F.lit(True).alias("query"), F.lit(False).alias("held"))
+    alone = F.col("n") + F.col("m") == 2 if queries is members else F.lit(False)  # a row goes once where its block meets itself
+    data = _salted(members, shape, "key").select("key", "id", "component", own("n").alias("b"), blocks("m").alias("q"), alone.alias("query"), F.lit(True).alias("held"))
+    asking = _salted(queries, shape, "key").where(~alone).select("key", "id", "component", blocks("n").alias("b"), own("m").alias("q"), F.lit(True).alias("query"), F.lit(False).alias("held"))
     return data.unionByName(asking).join(sets, "id").groupBy("key", "b", "q").applyInArrow(_blocked(num, den), "u long, v long")
