@@ -10,12 +10,15 @@ the search keeps one backpointer a position.  Only positions within the longest
 piece's length can be continued; whenever the paths of all of them go back to
 one boundary, the ids before it are committed.
 
-Boundaries that no piece can cross (a pair of characters that occurs in no piece)
-are such points as well; the words between them are memoised in a bounded table.
+At a pair of characters that no piece holds all surviving paths meet, so the text before it is committed as it
+stands, without looking further; what was searched between two such boundaries is kept in a bounded table and
+not searched again when it comes again.  Every text goes through the stream in parts, and the stream holds no
+more than HELD characters that aren't committed, however long the text or a word in it is.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -27,8 +30,11 @@ from ..session import ship
 from .spark_io import free_name
 
 SPACE = "▁"
+_WORD = re.compile(" *[^ ]+| +")
 MEMO_WORDS = 800_000
 MEMO_PAIRS = 1_000_000
+PART = 1 << 16  # characters of a text that are pushed at once
+HELD = 64  # characters of a word that wait for its end; of longer ones, what isn't committed waits
 
 
 class Pieces:
@@ -120,22 +126,13 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 16-bit integers."""
+        """Ids of a text as little-endian 16-bit integers, by the stream."""
         if not text:
             return b""
-        parts = text.replace(SPACE, " ").split(" ")
-        if "" not in parts:
-            return b"".join(map(self.words.__getitem__, parts))
-        return self.search((SPACE + text.replace(SPACE, " ")).replace(" ", SPACE))
-
-    def search(self, text: str) -> bytes:
-        """Memoised search between the boundaries that no piece crosses."""
-        out, start = [], 0
-        for k in range(1, len(text) + 1):
-            if k == len(text) or text[k - 1 : k + 1] not in self.inner:
-                out += self.words.between(text[start:k])
-                start = k
-        return struct.pack(f"<{len(out)}H", *out)
+        stream = TextStream(self)
+        if len(text) <= PART:
+            return stream.push(text) + stream.finish()
+        return b"".join([stream.push(text[k : k + PART]) for k in range(0, len(text), PART)]) + stream.finish()
 
 
 class _Sizes(dict):
@@ -156,38 +153,24 @@ class _Sizes(dict):
 
 
 class _Words(dict):
-    """Word without its leading space to its ids, filled on demand and emptied when full."""
+    """Word with the spaces before it to its ids, filled by the search on demand and emptied when full."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces, self.spans = pieces, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.pieces.search(SPACE + word)
-        if len(word) <= 64:
+        out = StreamingViterbi(self.pieces).push(word.replace(" ", SPACE), whole=True)
+        ids = struct.pack(f"<{len(out)}H", *out)
+        if len(word) <= HELD:
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
-    def between(self, span: str) -> list[int]:
-        known = self.spans.get(span)
-        if known is None:
-            if len(span) > 256:
-                stream = StreamingViterbi(self.pieces)
-                return [*stream.push(span), *stream.finish()]
-            ends: list[int] = []
-            self.pieces.extend(span, ends, -1)
-            known = self.pieces.path(span, ends, len(span))
-            if len(span) <= 4:
-                if len(self.spans) >= MEMO_WORDS // 8:
-                    self.spans.clear()
-                self.spans[span] = known
-        return known
-
 
 class StreamingViterbi:
-    """Push text in parts, get ids as soon as they are certain.
+    """Push text in parts (spaces as the model has them), get ids as soon as they are certain.
 
     `ends[k]` is the piece that ends k + 1 characters after the last committed boundary.  The text before that boundary
     is dropped; only the last committed piece is kept, because the next one must be consistent with it.
@@ -195,14 +178,28 @@ class StreamingViterbi:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.text, self.ends, self.last = pieces, "", [], -1
-
-    def push(self, text: str) -> list[int]:
-        out = []
-        step = 4 * self.pieces.longest
-        for k in range(0, len(text), step):
-            self.text += text[k : k + step]
-            self.pieces.extend(self.text, self.ends, self.last)
-            out += self._commit(self._common())
+        self.before, self.widest = "", 0  # the last character pushed, the most characters that were held
+
+    def push(self, text: str, whole: bool = False) -> list[int]:
+        """`whole`: the text ends here, where all paths meet."""
+        out, inner, step = [], self.pieces.inner, 4 * self.pieces.longest
+        start, n = 0, len(text)
+        if n and self.before + text[0] not in inner:
+            out += self.finish()
+        for k in range(1, n + 1):
+            meet = whole if k == n else text[k - 1 : k + 1] not in inner
+            if meet or k == n or k - start >= step:
+                if meet and k - start < step and self.last < 0 and not self.text:
+                    out += self._between(text[start:k])
+                else:
+                    self.text += text[start:k]
+                    self.widest = max(self.widest, len(self.text))
+                    self.pieces.extend(self.text, self.ends, self.last)
+                    out += self._commit(self._common())
+                    if meet:
+                        out += self.finish()
+                start = k
+        self.before = text[-1:] or self.before
         return out
 
     def finish(self) -> list[int]:
@@ -210,6 +207,20 @@ class StreamingViterbi:
         self.last = -1
         return out
 
+    def _between(self, span: str) -> list[int]:
+        """Ids of a span between boundaries, short ones from the table."""
+        known = self.pieces.words.spans.get(span)
+        if known is None:
+            ends: list[int] = []
+            self.pieces.extend(span, ends, -1)
+            known = self.pieces.path(span, ends, len(span))
+            if len(span) <= 4:
+                spans = self.pieces.words.spans
+                if len(spans) >= MEMO_WORDS // 8:
+                    spans.clear()
+                spans[span] = known
+        return known
+
     def _back(self, k: int) -> int:
         piece = self.ends[k - 1]
         return k - (1 if piece < 0 else len(self.pieces.names[piece]))
@@ -231,6 +242,55 @@ class StreamingViterbi:
         return out
 
 
+class TextStream:
+    """Push a text in parts of any size, get its ids (little-endian 16-bit integers) as soon as they are certain.
+
+    A word ends where a space follows another character, which no piece spans: all paths meet there and the word's ids are
+    committed.  The last word of a part waits for its end up to HELD characters; what a longer one has goes into the search.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.tail, self.search, self.blank = pieces, " ", None, True
+
+    def push(self, text: str) -> bytes:
+        text = self.tail + text.replace(SPACE, " ")
+        out = []
+        if self.search:
+            end = text.find(" ", len(text) - len(text.lstrip(" ")) if self.blank else 0)
+            out.append(self._long(text if end < 0 else text[:end]))
+            if end < 0:
+                return out[0]
+            out.append(self._ended())
+            text = text[end:]
+        parts = text.split(" ")
+        if "" in parts[1:]:
+            *words, self.tail = _WORD.findall(text)
+        else:
+            words, self.tail = [" " + w for w in parts[1:-1]], " " + parts[-1]
+        out += map(self.pieces.words.__getitem__, words)
+        if len(self.tail) > HELD:
+            self.search, self.blank = StreamingViterbi(self.pieces), True
+            out.append(self._long(self.tail))
+            self.tail = ""
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        if self.search:
+            return self._ended()
+        out, self.tail = self.pieces.words[self.tail], " "
+        return out
+
+    def _long(self, text: str) -> bytes:
+        self.blank = self.blank and not text.strip(" ")
+        ids = self.search.push(text.replace(" ", SPACE))
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _ended(self) -> bytes:
+        ids = self.search.finish()
+        self.search = None
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+
 _loaded: dict[str, Pieces] = {}
 
 
