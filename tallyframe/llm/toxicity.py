@@ -3,7 +3,9 @@
 The kernel compares two words by their common subsequences of three letters that span at most five, each
 weighted DECAY to the power of its span, and is normalised.  Letters are folded, digits that stand for letters are
 read as these, marks inside a word are dropped, and runs of single letters are read as a word, so an insult with
-gaps or inserted characters still shares most of its subsequences with the plain one.
+gaps or inserted characters still shares most of its subsequences with the plain one.  A letter is a folded byte: the bytes of
+other scripts share 27 codes, which keeps their words apart by order and length but not without fail.  Words of more than WINDOW letters are
+read in overlapping windows, in training and in scoring alike.
 
 A sentence is as toxic as its most toxic word.  Only whole documents are labelled, so training alternates
 between picking each toxic document's most toxic word (and all words that toxic documents alone have too often for chance)
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -27,7 +29,7 @@ from .vectext import IS_SPACE, Words, buffers, range_hashes, slices_of, word_ran
 DECAY = 0.7
 PLACES = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 WINDOW = 32  # letters of a word looked at together; longer words are read in overlapping windows
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000  # labelled documents of a class, and the longest text, that training takes
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 3000, 20_000, 8_000_000  # labelled documents of a class, the longest text, and characters of a class, that training takes
 LANDMARKS, POOL, ROUNDS = 256, 12_000, 3
 THRESHOLD = 0.3
 
@@ -141,10 +143,10 @@ class Machine:
 
 
 def _kernel(words: list[bytes], table: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Kernel values of words with landmarks: `place` maps a subsequence to a row of `table` (row 0 is zero)."""
+    """Kernel values of words of at most WINDOW letters with landmarks: `place` maps a subsequence to a row of `table` (row 0 is zero)."""
     out = np.zeros((len(words), table.shape[1]), dtype=np.float32)
     for k in range(0, len(words), 1024):
-        part = [w[:WINDOW] for w in words[k : k + 1024]]
+        part = words[k : k + 1024]
         data = np.frombuffer(b"".join(part), np.uint8)
         ends = np.cumsum([len(w) for w in part])
         ids, weights = subsequences(_codes(data, ends - [len(w) for w in part], ends))
@@ -172,13 +174,19 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1
     return w[:-1], float(w[-1])
 
 
+def _in_windows(words: list[bytes]) -> list[bytes]:
+    """The distinct windows of words, in order."""
+    word, shift = _windows(np.array([len(w) for w in words]))
+    return list(dict.fromkeys(words[k][a : a + WINDOW] for k, a in zip(word.tolist(), shift.tolist())))
+
+
 def _fit(positive: list[bytes], negative: list[bytes]) -> Machine:
     """Nyström machine on words; landmarks are spread over both classes."""
     step = lambda items, n: items[:: max(1, len(items) // n)][:n]
-    positive = list(dict.fromkeys(positive))
+    positive, negative = _in_windows(positive), _in_windows(negative)
     marks = step(positive, LANDMARKS * 3 // 4) + step(negative, LANDMARKS // 4)
-    data, ends = np.frombuffer(b"".join(w[:WINDOW] for w in marks), np.uint8), np.cumsum([len(w[:WINDOW]) for w in marks])
-    ids, weights = subsequences(_codes(data, ends - [len(w[:WINDOW]) for w in marks], ends))
+    data, ends = np.frombuffer(b"".join(marks), np.uint8), np.cumsum([len(w) for w in marks])
+    ids, weights = subsequences(_codes(data, ends - [len(w) for w in marks], ends))
     known = np.unique(ids[ids > 0])
     place = np.zeros(64**3, dtype=np.int64)
     place[known] = np.arange(1, len(known) + 1)
@@ -219,7 +227,8 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     starts, ends = words.starts[first], words.ends[first]
     text = words.text_of()
-    pairs = np.unique(np.stack([text, back], axis=1), axis=0)
+    packed = np.unique(text * len(first) + back)
+    pairs = np.stack(np.divmod(packed, len(first)), axis=1)
     hit = label[pairs[:, 0]]
     in_toxic, in_clean = (np.bincount(pairs[m, 1], minlength=len(first)) for m in (hit, ~hit))
     belief = np.log((in_toxic + 0.05) / (label.sum() + 1)) - np.log((in_clean + 0.05) / ((~label).sum() + 1)) + 0.3 * np.log1p(in_toxic)
@@ -229,7 +238,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     # words that only toxic documents have, after too many different words for chance (odds of e^-12); copies of a document count once so
     after = np.r_[-1, back[:-1]]
     after[words.bounds[:-1][np.diff(words.bounds) > 0]] = -1
-    contexts = np.bincount(np.unique(np.stack([back, after], axis=1)[label[text]], axis=0)[:, 0], minlength=len(first))
+    contexts = np.bincount(np.unique((back * (len(first) + 1) + after + 1)[label[text]]) // (len(first) + 1), minlength=len(first))
     sure = np.flatnonzero((in_clean == 0) & (contexts * np.log(len(label) / label.sum()) >= 12))
     machine, value = none, belief
     toxic_pairs = pairs[hit]
@@ -274,16 +283,24 @@ def _score(machine: Machine):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Machine:
-    """A machine from labelled rows: of each class, the `train_docs` rows of least id hash with texts of at most `train_chars` characters.  Null labels and texts are left out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_total: int = TRAIN_TOTAL) -> Machine:
+    """A machine from labelled rows: of each class, rows in order of their ids' hash, `train_docs` ids and `train_total` characters at most, with texts of at most `train_chars` characters.
+
+    An id that has several texts gives the least one; an id with both labels stands in both classes.  Null labels and texts are left out.
+    """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= train_chars)
-    rows = []
+    turn = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # over at most train_docs rows
+    texts, marks = [], []
     for label in (0, 1):
         part = bounded_sample(known.where(F.col("label") == label).select("id").distinct(), "id", train_docs).orderBy(F.xxhash64("id"), "id").limit(train_docs)
-        rows += [(r.text, label) for r in own.join(F.broadcast(part), "id").orderBy("id", "text").limit(2 * train_docs).collect()]
-    return train([r[0] for r in rows], [r[1] for r in rows])
+        chosen = own.join(F.broadcast(part), "id").groupBy("id").agg(F.min("text").alias("text"))
+        taken = chosen.withColumn("upto", F.sum(F.length("text")).over(turn)).where(F.col("upto") <= train_total)
+        rows = [r.text for r in taken.select("id", "text").orderBy("id").collect()]
+        texts += rows
+        marks += [label] * len(rows)
+    return train(texts, marks)
 
 
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
