@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_dir
 
-__all__ = ["bounded_sample", "cut", "free_name", "load", "scratch", "shared_dir", "written"]
+__all__ = ["bounded_sample", "cut", "discard", "free_name", "load", "scratch", "shared_dir", "written"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,6 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the shared folder that `written` made for `df`; for what nothing will read again."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
