@@ -15,7 +15,7 @@ from tallyframe.llm.passages import without_repeats
 from tallyframe.llm.pieces import encode_texts
 from tallyframe.llm.q_pieces import model_path
 from tallyframe.llm.quality import keep_quality
-from tallyframe.llm.spark_io import load, written
+from tallyframe.llm.spark_io import discard, load, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written to the shared folder and read again as the next one's input."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over `documents`; each one's result is written to the shared folder and read again as the next one's input.
+
+    A result that the next one has been written from is deleted; the last one is read by the caller.
+    """
+    docs, last = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(spark, last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
