@@ -2,16 +2,18 @@
 
 Text statistics come from array functions on each row.  Rows that pass the base rules
 get a vector of transformed statistics.  For each (language, source), each language, and
-all rows, a minimum-covariance-determinant estimate is found by concentration steps from a
-median and quartile start: of all rows of a group, the H_SHARE nearest to the present
-estimate give the next one, with the consistency factor of that share.  A step is one grouped aggregation by (group, distance bin)
-of moments, which the partial aggregation shrinks before the shuffle, so a group that
-holds a third of all rows costs no task more than any other.  A row is judged by the
-finest group that has MIN_ROWS rows.
+all rows, a minimum-covariance-determinant estimate is found by concentration steps from several
+starts: of all rows of a group, the H_SHARE nearest to the present estimate give the next one, with the consistency
+factor of that share.  After TRIAL_STEPS the start of least determinant goes on until its determinant falls no more.
+A step is one grouped aggregation by (group, start, distance bin) of moments, which the partial aggregation shrinks
+before the shuffle and which is dealt by group and bin, so a group that holds a third of all rows costs no task
+more than any other.  A row is judged by the finest group that has MIN_ROWS rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from .spark_io import cut, free_name
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
-H_SHARE, STEPS, MIN_ROWS = 0.75, 3, 100
+H_SHARE, MIN_ROWS = 0.75, 100
+TRIAL_STEPS, MOST_STEPS, FALL = 2, 30, 1e-3  # steps of all starts; steps at most; the least fall of the log determinant that counts, as distances stand in bins
 CHI2_MEDIAN, CUTOFF = 4.351, 20.515  # median and 99.9% point of chi-square with 5 degrees of freedom: of normal rows, one in a thousand goes
 #: Covariance of normal rows over that of their nearest H_SHARE, by the number k of statistics that vary: H_SHARE over the chance that chi-square with k + 2 degrees of freedom is under the H_SHARE point of that with k.
 CONSISTENT = (2.713, 1.859, 1.609, 1.486, 1.412)
@@ -66,30 +69,53 @@ def _groups(lang: str | None, source: str | None) -> list[Column]:
     return [F.concat(F.lit("2"), mark(lang), F.lit("\x01"), mark(source)), F.concat(F.lit("1"), mark(lang)), F.lit("0")]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and quartile range of each statistic in each group, from exact counts of fine bins."""
-    long = rows.select("grp", F.posexplode(F.array(*FEATURES)).alias("dim", "x")).groupBy("grp", "dim", F.floor(F.col("x") * FINE).alias("bin")).agg(F.count("*").alias("n"))
+def _by_bin(rows: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """Sums by keys and bin, dealt by both, so that what follows by keys alone reads a row a bin."""
+    return rows.groupBy(*keys, "bin").agg(F.count("*").alias("k"), *sums).repartition(*keys, "bin")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Starts of each group: 0 from medians and quartile ranges (exact counts of fine bins), 1 from the mean and covariance of all rows, 2 from the medians and that covariance."""
+    long = _by_bin(rows.select("grp", F.posexplode(F.array(*FEATURES)).alias("dim", "x")).withColumn("bin", F.floor(F.col("x") * FINE)), ["grp", "dim"])
     upto = Window.partitionBy("grp", "dim").orderBy("bin")
-    long = long.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("grp", "dim")))
+    long = long.withColumn("upto", F.sum("k").over(upto)).withColumn("total", F.sum("k").over(Window.partitionBy("grp", "dim")))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin"))) / FINE
-    per = long.groupBy("grp", "dim").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"), F.max("total").alias("total"))
-    wide = per.groupBy("grp").agg(
-        F.max("total").alias("n"),
-        *[F.max(F.when(F.col("dim") == k, F.col("mid"))).alias(f"m{k}") for k in range(5)],
-        *[F.max(F.when(F.col("dim") == k, F.col("sd") * F.col("sd"))).alias(f"c{k}{k}") for k in range(5)],
-    )
-    return _factored(wide.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(5) for j in range(i)}).withColumn("scale", F.lit(1.0)))
+    per = long.groupBy("grp", "dim").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
+    robust = per.groupBy("grp").agg(*[F.max(F.when(F.col("dim") == k, F.col("mid"))).alias(f"r{k}") for k in range(5)], *[F.max(F.when(F.col("dim") == k, F.col("sd"))).alias(f"d{k}") for k in range(5)])
+    whole = rows.groupBy("grp").agg(F.count("*").alias("n"), F.count("*").alias("k"), *_moments())
+    both = _means(whole).join(robust, "grp")
+    kinds = []
+    for start in range(3):
+        mean = [F.col(f"m{k}") if start == 1 else F.col(f"r{k}") for k in range(5)]
+        spread = [F.col(f"c{i}{j}") if start else F.col(f"d{i}") ** 2 if i == j else F.lit(0.0) for i, j in _PAIRS]
+        kinds.append(both.select("grp", F.lit(start).alias("start"), "n", *[m.alias(f"m{k}") for k, m in enumerate(mean)], *[c.alias(f"c{i}{j}") for (i, j), c in zip(_PAIRS, spread)]))
+    return _factored(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+
+
+_PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
+
+
+def _moments() -> list[Column]:
+    return [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(5)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in _PAIRS]
+
 
+def _means(sums: DataFrame) -> DataFrame:
+    """Means m<i> and covariances c<i><j> from sums over k rows."""
+    mean = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("k") for i in range(5)})
+    return mean.withColumns({f"c{i}{j}": F.col(f"p{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _PAIRS})
 
-def _factored(est: DataFrame) -> DataFrame:
-    """Cholesky factors l<i><j> of the covariances; what a statistic varies beside those before it is at least its floor."""
+
+def _factored(est: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Cholesky factors l<i><j> of the covariances and the log determinant; what a statistic varies beside those before it is at least its floor."""
     for i in range(5):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return cut(est.select("grp", "n", "scale", *[f"m{k}" for k in range(5)], *[f"l{i}{j}" for i in range(5) for j in range(i + 1)]))
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(1, 5)), 2 * F.log("l00"))
+    out = est.select("grp", "start", "n", F.lit(1.0).alias("scale"), logdet.alias("logdet"), *[f"m{k}" for k in range(5)], *[f"l{i}{j}" for i, j in _PAIRS])
+    return cut(out if more is None else out.join(more, "grp"))
 
 
 def _distance(prefix: str = "") -> Column:
@@ -103,25 +129,48 @@ def _distance(prefix: str = "") -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0]) / F.col(f"{prefix}scale")
 
 
-def _step(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """One concentration step: moments by distance bin, summed over the nearest H_SHARE of each group's rows; the covariance is made consistent for that share."""
-    near = rows.join(est, "grp").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BIN).cast("int"))
-    pairs = [(i, j) for i in range(5) for j in range(i + 1)]
-    sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(5)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs]
-    bins = near.groupBy("grp", "bin").agg(F.count("*").alias("k"), *sums)
-    order = Window.partitionBy("grp").orderBy("bin")
-    bins = bins.withColumn("before", F.sum("k").over(order) - F.col("k")).withColumn("total", F.sum("k").over(Window.partitionBy("grp")))
-    inner = bins.where(F.col("before") < F.col("total") * H_SHARE).groupBy("grp").agg(F.max("total").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in bins.columns if c[0] in "sp" and c[1:].isdigit()])
-    mean = inner.withColumns({f"m{i}": F.col(f"s{i}") / F.col("k") for i in range(5)})
-    spread = {(i, j): F.col(f"p{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in pairs}
-    vary = sum((F.when(spread[i, i] > FLOORS[i] ** 2, 1).otherwise(0) for i in range(1, 5)), F.when(spread[0, 0] > FLOORS[0] ** 2, 1).otherwise(0))
+def _distance_bin() -> Column:
+    return F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BIN).cast("int").alias("bin")
+
+
+def _step(rows: DataFrame, est: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """One concentration step: moments by distance bin, summed over the nearest H_SHARE of each group's rows; the covariance is made consistent for that share.
+
+    `more` has further columns a group, which the result gets.
+    """
+    keys = ["grp", "start"]
+    bins = _by_bin(rows.join(est, "grp").select(*keys, *FEATURES, _distance_bin()), keys, *_moments())
+    order = Window.partitionBy(*keys).orderBy("bin")
+    bins = bins.withColumn("before", F.sum("k").over(order) - F.col("k")).withColumn("total", F.sum("k").over(Window.partitionBy(*keys)))
+    inner = bins.where(F.col("before") < F.col("total") * H_SHARE).groupBy(*keys).agg(F.max("total").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in bins.columns if c[0] in "sp" and c[1:].isdigit()])
+    mean = _means(inner)
+    vary = sum((F.when(F.col(f"c{i}{i}") > FLOORS[i] ** 2, 1).otherwise(0) for i in range(1, 5)), F.when(F.col("c00") > FLOORS[0] ** 2, 1).otherwise(0))
     factor = F.element_at(F.array(*map(F.lit, CONSISTENT)), F.greatest(vary, F.lit(1)))
-    return _factored(mean.withColumns({f"c{i}{j}": factor * c for (i, j), c in spread.items()}).withColumn("scale", F.lit(1.0)))
+    found = mean.withColumn("factor", factor).withColumns({f"c{i}{j}": F.col("factor") * F.col(f"c{i}{j}") for i, j in _PAIRS})
+    return _factored(found, more)
+
+
+def _estimate(rows: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group: all starts take TRIAL_STEPS, then the best one goes on while its determinant falls."""
+    est = _starts(rows)
+    for _ in range(TRIAL_STEPS):
+        est = _step(rows, est)
+    best = est.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    moving = est.join(best, ["grp", "start"])
+    done = []
+    for _ in range(TRIAL_STEPS, MOST_STEPS):
+        new = _step(rows, moving, moving.select("grp", F.col("logdet").alias("was")))
+        fell = F.col("logdet") < F.col("was") - FALL
+        done.append(moving.join(new.where(~fell).select("grp"), "grp", "left_semi"))  # no less: the present one stays
+        moving = new.where(fell).drop("was")
+        if moving.isEmpty():
+            break
+    return cut(reduce(DataFrame.unionByName, done, moving).drop("start", "logdet"))
 
 
 def _scaled(rows: DataFrame, est: DataFrame) -> DataFrame:
     """The estimate with the factor that makes the group's median distance consistent; it never shrinks below 1."""
-    bins = rows.join(est, "grp").groupBy("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BIN).cast("int").alias("bin")).agg(F.count("*").alias("k"))
+    bins = _by_bin(rows.join(est, "grp").select("grp", _distance_bin()), ["grp"])
     bins = bins.withColumn("upto", F.sum("k").over(Window.partitionBy("grp").orderBy("bin"))).withColumn("total", F.sum("k").over(Window.partitionBy("grp")))
     mid = bins.groupBy("grp").agg(F.min(F.when(F.col("upto") >= F.col("total") * 0.5, F.col("bin"))).alias("mid"))
     return cut(est.drop("scale").join(mid, "grp").withColumn("scale", F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 1) / BIN) / CHI2_MEDIAN, F.lit(1.0))).drop("mid"))
@@ -151,10 +200,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stats = cut(stats)
     groups = _groups("lang", "source")
     rows = stats.where("not base_failed").select(F.explode(F.array(*groups)).alias("grp"), *FEATURES)
-    est = _start(rows)
-    for _ in range(STEPS):
-        est = _step(rows, est)
-    est = _scaled(rows, est).where(F.col("n") >= MIN_ROWS)
+    est = _scaled(rows, _estimate(rows)).where(F.col("n") >= MIN_ROWS)
     out = stats
     found = []
     for k, group in enumerate(groups):
