@@ -31,6 +31,7 @@ CONSISTENT = (2.713, 1.859, 1.609, 1.486, 1.412)
 #: Least spread, for groups without any of their own: log word length and log words are measures; log1p of symbols, repeated lines and repeated words in percent
 #: have the least amount that a short text can show (a symbol in 50 words, a line in three, two runs of three in 50 words) just at the cutoff.
 FLOORS = (0.02, 0.243, 0.78, 0.567, 0.1)
+MOST_GROUPS, SALTS = 20_000, 16  # estimates that may go along with each task; copies of a larger table of them
 BIN = 16.0  # bins an octave of squared distance
 FINE = 200.0  # bins a unit of a statistic
 
@@ -129,6 +130,15 @@ def _distance(prefix: str = "") -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0]) / F.col(f"{prefix}scale")
 
 
+def _with_group(rows: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` with the estimates of their `grp`.  Up to MOST_GROUPS estimates go along with each task; more are joined by a shuffle, in SALTS copies, so that a group's rows are split."""
+    if est.count() <= MOST_GROUPS:
+        return rows.join(F.broadcast(est), "grp", how)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_")
+    dealt = rows.withColumn("salt_", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(est.select("*", salt), ["grp", "salt_"], how).drop("salt_")
+
+
 def _distance_bin() -> Column:
     return F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BIN).cast("int").alias("bin")
 
@@ -139,7 +149,7 @@ def _step(rows: DataFrame, est: DataFrame, more: DataFrame | None = None) -> Dat
     `more` has further columns a group, which the result gets.
     """
     keys = ["grp", "start"]
-    bins = _by_bin(rows.join(est, "grp").select(*keys, *FEATURES, _distance_bin()), keys, *_moments())
+    bins = _by_bin(_with_group(rows, est).select(*keys, *FEATURES, _distance_bin()), keys, *_moments())
     order = Window.partitionBy(*keys).orderBy("bin")
     bins = bins.withColumn("before", F.sum("k").over(order) - F.col("k")).withColumn("total", F.sum("k").over(Window.partitionBy(*keys)))
     inner = bins.where(F.col("before") < F.col("total") * H_SHARE).groupBy(*keys).agg(F.max("total").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in bins.columns if c[0] in "sp" and c[1:].isdigit()])
@@ -156,7 +166,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
     for _ in range(TRIAL_STEPS):
         est = _step(rows, est)
     best = est.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    moving = est.join(best, ["grp", "start"])
+    moving = cut(est.join(best, ["grp", "start"]))
     done = []
     for _ in range(TRIAL_STEPS, MOST_STEPS):
         new = _step(rows, moving, moving.select("grp", F.col("logdet").alias("was")))
@@ -170,7 +180,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
 
 def _scaled(rows: DataFrame, est: DataFrame) -> DataFrame:
     """The estimate with the factor that makes the group's median distance consistent; it never shrinks below 1."""
-    bins = _by_bin(rows.join(est, "grp").select("grp", _distance_bin()), ["grp"])
+    bins = _by_bin(_with_group(rows, est).select("grp", _distance_bin()), ["grp"])
     bins = bins.withColumn("upto", F.sum("k").over(Window.partitionBy("grp").orderBy("bin"))).withColumn("total", F.sum("k").over(Window.partitionBy("grp")))
     mid = bins.groupBy("grp").agg(F.min(F.when(F.col("upto") >= F.col("total") * 0.5, F.col("bin"))).alias("mid"))
     return cut(est.drop("scale").join(mid, "grp").withColumn("scale", F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 1) / BIN) / CHI2_MEDIAN, F.lit(1.0))).drop("mid"))
@@ -204,8 +214,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = stats
     found = []
     for k, group in enumerate(groups):
-        own = est.toDF(*[f"e{k}_{c}" for c in est.columns])
-        out = out.join(own, group == F.col(f"e{k}_grp"), "left")
+        own = est.toDF(*["grp" if c == "grp" else f"e{k}_{c}" for c in est.columns])
+        out = _with_group(out.withColumn("grp", group), own, "left").drop("grp")
         found.append(_distance(f"e{k}_"))
     distance = F.when(~F.col("base_failed"), F.coalesce(*found))
     out = out.withColumn("distance", distance)
