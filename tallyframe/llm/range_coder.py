@@ -22,6 +22,7 @@ BLOCK = 2048  # ids a block
 LANES = 2048  # blocks that advance together
 MAX_ID = (1 << 16) - 1
 SLOTS = 1024  # hashed contexts of order 1 and of order 2, each, in a block
+TOGETHER = 128  # blocks whose ids are put in order together
 SURE = 3  # highest certainty of a slot
 RATE = 4  # shift of the tables' moving averages
 EVERY = 8  # ids after which the mixing weights are renewed
@@ -40,6 +41,8 @@ _KEPT = _FIELDS * _U((1 << 16 - RATE) - 1)
 
 _slope = np.concatenate([[0], np.cumsum(1 + (1 << 14) // (np.arange(MAX_ID + 1) + 128))])  # lesser ids are commoner in public vocabularies
 _AT = np.repeat(np.arange(MAX_ID + 1), np.diff(_slope)).astype(np.int64)
+_BEGIN, _WIDER = _slope[:-1].astype(_U), (np.diff(_slope) - 1).astype(_U)
+_WHOLE = int(_slope[-1])
 
 
 class CorruptBlock(ValueError):
@@ -106,6 +109,14 @@ class _Mixer:
 
 def _order_0(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each id of (lanes, steps), turned: where its share of the counts at the last renewal begins, and the share; 0 where it has not come before that."""
+    lanes, steps = mine.shape
+    begin, share = np.zeros((steps, lanes), dtype=np.uint16), np.zeros((steps, lanes), dtype=np.uint16)
+    for a in range(0, lanes, TOGETHER):
+        _order_0_of(mine[a : a + TOGETHER], begin[:, a : a + TOGETHER], share[:, a : a + TOGETHER])
+    return begin, share
+
+
+def _order_0_of(mine: np.ndarray, begin: np.ndarray, share: np.ndarray) -> None:
     lanes, steps = mine.shape
     order = np.argsort(mine, axis=1, kind="stable")
     order += (np.arange(lanes) * steps)[:, None]
@@ -119,35 +130,42 @@ def _order_0(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(lanes * steps, dtype=np.int32)
     rank[order] = fresh.reshape(-1)
     rank = np.ascontiguousarray(rank.reshape(lanes, steps).T)
-    begin, share = np.zeros((steps, lanes), dtype=np.int32), np.zeros((steps, lanes), dtype=np.int32)
     counts = np.zeros(lanes * kinds, dtype=np.int32)
     edges = [0, *(e for e in RENEWALS if e < steps), steps]
     for a, b, c in zip(edges, edges[1:], edges[2:]):
         counts += np.bincount(rank[a:b].reshape(-1), minlength=lanes * kinds)
         upto = np.cumsum(counts.reshape(lanes, kinds), axis=1, dtype=np.int32).reshape(-1)
-        share[b:c] = counts.take(rank[b:c])
-        begin[b:c] = upto.take(rank[b:c])
-        begin[b:c] -= share[b:c]
-    return begin, share
+        own = counts.take(rank[b:c])
+        share[b:c] = own
+        begin[b:c] = upto.take(rank[b:c]) - own
 
 
 class _Counts:
-    """Order 0 for decoding, from the sorted ids so far: a place in the counts to its id, where the id's share begins and where it ends."""
+    """Order 0 for decoding, from the ids so far in order: a place in the counts to its id, where the id's share begins and where it ends, in fields of one integer."""
 
     def __init__(self, ids: np.ndarray):
         self.n, lanes = ids.shape
-        ordered = np.sort(ids.T.astype(np.uint16), axis=1, kind="stable")
-        fresh = np.ones((lanes, self.n), dtype=bool)
-        fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        self.ids = ordered.reshape(-1)
-        self.run = np.cumsum(fresh.reshape(-1), dtype=np.int32)
-        self.edge = np.append(np.flatnonzero(fresh), lanes * self.n)
+        place = np.arange(self.n, dtype=np.uint16)
+        self.fields = np.empty((lanes, self.n), dtype=_U)
+        for a in range(0, lanes, TOGETHER):
+            ordered = np.sort(ids[:, a : a + TOGETHER].T.astype(np.uint16), axis=1, kind="stable")
+            begin, end = np.zeros(ordered.shape, dtype=np.uint16), np.full(ordered.shape, self.n, dtype=np.uint16)
+            fresh = ordered[:, 1:] != ordered[:, :-1]
+            begin[:, 1:] = fresh * place[1:]
+            end[:, :-1][fresh] = np.broadcast_to(place[1:], fresh.shape)[fresh]
+            np.maximum.accumulate(begin, axis=1, out=begin)
+            end = np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+            own = self.fields[a : a + TOGETHER]
+            own[:] = end
+            own <<= _WORD
+            own |= begin
+            own <<= _WORD
+            own |= ordered
+        self.fields = self.fields.reshape(-1)
 
     def find(self, lane: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        base = lane * self.n
-        place = base + value
-        run = self.run.take(place)
-        return self.ids.take(place), self.edge.take(run - 1) - base, self.edge.take(run) - base
+        found = self.fields.take(lane * self.n + value).view(np.int64)
+        return found & 0xFFFF, found >> 16 & 0xFFFF, found >> 32
 
 
 def _together(sizes: list[int]):
@@ -157,7 +175,7 @@ def _together(sizes: list[int]):
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payload of each block of at most BLOCK ids; ids over MAX_ID are refused."""
+    """Payload of each block of ids; ids over MAX_ID are refused."""
     out: list[bytes] = [b""] * len(blocks)
     for part in _together([len(b) for b in blocks]):
         for k, payload in zip(part, _encode([blocks[k] for k in part])):
@@ -169,36 +187,26 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, steps = len(blocks), max(map(len, blocks), default=0)
     if not steps:
         return [b""] * lanes
-    if steps > BLOCK or any(len(b) and (b.dtype != np.uint16 and not 0 <= int(b.min()) <= int(b.max()) <= MAX_ID) for b in blocks):
-        raise ValueError(f"a block holds at most {BLOCK} ids of 0 to {MAX_ID}")
+    if any(len(b) and b.dtype != np.uint16 and not 0 <= int(b.min()) <= int(b.max()) <= MAX_ID for b in blocks):
+        raise ValueError(f"ids are 0 to {MAX_ID}")
     sizes = np.array([len(b) for b in blocks])
     mine = np.zeros((lanes, steps), dtype=np.uint16)
     for row, b in zip(mine, blocks):
         row[: len(b)] = b
     begin, share = _order_0(mine)
     ids = np.ascontiguousarray(mine.T).astype(np.int32)
-    new = share == 0
-    novel = new.astype(np.int64)
-    inner = np.where(new, _slope.take(ids), begin).astype(_U)
-    wider = (np.where(new, _slope.take(ids + 1) - _slope.take(ids), share) - 1).astype(_U)
     mixer, lane = _Mixer(lanes), np.arange(lanes)
     low, span = np.zeros(lanes, dtype=_U), np.full(lanes, 2**64 - 1, dtype=_U)
     room = steps * 3 + 8  # an id takes 34 bits at most
-    words = np.zeros(lanes * room, dtype=np.uint16)
-    at = lane * room
-
-    def carry(which: np.ndarray) -> None:
-        place = at[which] - 1
-        while len(place):
-            words[place] += np.uint16(1)
-            place = place[words[place] == 0] - 1
+    words = np.zeros((room, lanes), dtype=np.uint32)  # 16 bits of each, and carries that aren't added yet
+    flat, at = words.reshape(-1), lane.copy()
 
     def move(start: np.ndarray) -> None:
         nonlocal low
         low = low + start
         over = low < start
         if over.any():
-            carry(np.flatnonzero(over))
+            flat[at[over] - lanes] += np.uint32(1)
 
     live, renewed = lanes, 0  # lanes go by falling size: the first `live` ones are still on
     for t in range(steps):
@@ -212,16 +220,21 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         own = ids[t]
         second, first, upto = mixer.look()
         came = own + 1
-        symbol = (came != second) * (1 + (came != first) * (1 + novel[t]))
+        new = share[t] == 0
+        symbol = (came != second) * (1 + (came != first) * (1 + new.astype(np.int64)))
         shift = symbol.astype(_U) << _U(4)
         below = (upto << _WORD) >> shift & _U(0xFFFF)
         step = span // (upto >> _U(48))
         deeper = (symbol > 1).astype(_U)
         span = ((upto >> shift & _U(0xFFFF)) - below) * step
         start = below * step
-        step = span // (deeper * (novel[t] * (int(_slope[-1]) - renewed) + (renewed - 1)).astype(_U) + _U(1))
-        start += deeper * inner[t] * step
-        span = (deeper * wider[t] + _U(1)) * step
+        fresh = new.astype(_U)
+        known = _U(1) - fresh
+        inner = fresh * _BEGIN.take(own) + known * begin[t]
+        wider = fresh * _WIDER.take(own) + known * (share[t].astype(_U) - _U(1))
+        step = span // (deeper * (fresh * _U(_WHOLE - 1) + known * _U(max(renewed, 1) - 1)) + _U(1))
+        start += deeper * inner * step
+        span = (deeper * wider + _U(1)) * step
         if live < lanes:
             start[off] = 0
         move(start)
@@ -231,15 +244,19 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             small = (span < _LEAST).astype(_U)
             if not small.any():
                 break
-            words[at] = low >> _U(48)  # counts where the place moves on
-            at += small.astype(np.int64)
+            flat[at] = low >> _U(48)  # counts where the place moves on
+            at += small.astype(np.int64) * lanes
             small <<= _U(4)
             low <<= small
             span <<= small
         mixer.learn(symbol, own)
     move(np.full(lanes, (1 << 48) - 1, dtype=_U))  # one word more is enough: the span holds a multiple of 2**48
-    words[at] = low >> _U(48)
-    return [words[k * room : at[k] + 1].astype("<u2").tobytes() if sizes[k] else b"" for k in range(lanes)]
+    flat[at] = low >> _U(48)
+    while (over := words >> 16).any():
+        words &= np.uint32(0xFFFF)
+        words[:-1] += over[1:]
+    own = np.ascontiguousarray(words.T.astype("<u2"))
+    return [own[k, : at[k] // lanes + 1].tobytes() if sizes[k] else b"" for k in range(lanes)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
@@ -254,14 +271,15 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 def _decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     lanes, steps = len(payloads), max(sizes, default=0)
     room = max(map(len, payloads), default=0) // 2 + 8
-    words = np.zeros(lanes * room + 8, dtype=np.uint16)
-    for k, p in enumerate(payloads):
-        words[k * room : k * room + len(p) // 2] = np.frombuffer(p, dtype="<u2")
+    own = np.zeros((lanes, room), dtype=np.uint16)
+    for row, p in zip(own, payloads):
+        row[: len(p) // 2] = np.frombuffer(p, dtype="<u2")
+    words = np.ascontiguousarray(own.T).reshape(-1)
     mixer, lane = _Mixer(lanes), np.arange(lanes)
-    at, code = lane * room, np.zeros(lanes, dtype=_U)
+    at, code = lane.copy(), np.zeros(lanes, dtype=_U)
     for _ in range(4):
         code = (code << _WORD) | words[at]
-        at += 1
+        at += lanes
     span = np.full(lanes, 2**64 - 1, dtype=_U)
     ids = np.zeros((steps, lanes), dtype=np.int64)
     counts = None
@@ -300,7 +318,7 @@ def _decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
                 break
             bits = small << _U(4)
             code = code << bits | words.take(at, mode="clip") * small
-            at += small.astype(np.int64)
+            at += small.astype(np.int64) * lanes
             span <<= bits
         np.maximum(span, _LEAST, out=span)  # as above: a span of a coded id is never less
         ids[t] = own

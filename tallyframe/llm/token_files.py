@@ -29,6 +29,7 @@ JOINED = 256  # words in a text for the library
 FILE_SCHEMA = "shard int, block int, base long, n_ids int, crc32 long, payload binary, open_start long, first_start long, doc_ids array<long>, doc_lens array<long>"
 _FRAGMENTS = "shard int, start_in_shard long, doc_id long, begins boolean, pos long, n long, crc long"
 _tokenizers: dict = {}
+_coders: dict = {}
 
 
 def load_tokenizer(path: str):
@@ -119,9 +120,16 @@ class WordCoder:
         return ids, np.diff(total[upto + np.arange(len(upto))], prepend=0)
 
 
+def word_coder(path: str) -> WordCoder:
+    """The coder of this worker process, so that tasks after the first one know its words."""
+    if path not in _coders:
+        _coders[path] = WordCoder(path)
+    return _coders[path]
+
+
 def _write(path: str):
     def run(batches):
-        coder = WordCoder(path)
+        coder = word_coder(path)
         shard = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         starts: list[tuple[int, int | None, int]] = []  # (start in shard, id, length) of documents whose start isn't written yet
