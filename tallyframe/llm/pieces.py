@@ -153,14 +153,14 @@ class _Sizes(dict):
 
 
 class _Words(dict):
-    """Word with the spaces before it to its ids, filled by the search on demand and emptied when full."""
+    """Word without the one space before it to its ids, filled by the search on demand and emptied when full."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces, self.spans = pieces, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = StreamingViterbi(self.pieces).push(word.replace(" ", SPACE), whole=True)
+        out = StreamingViterbi(self.pieces).push(SPACE + word.replace(" ", SPACE), whole=True)
         ids = struct.pack(f"<{len(out)}H", *out)
         if len(word) <= HELD:
             if len(self) >= MEMO_WORDS:
@@ -262,11 +262,12 @@ class TextStream:
                 return out[0]
             out.append(self._ended())
             text = text[end:]
-        parts = text.split(" ")
-        if "" in parts[1:]:
-            *words, self.tail = _WORD.findall(text)
-        else:
-            words, self.tail = [" " + w for w in parts[1:-1]], " " + parts[-1]
+        parts = text.split(" ")  # the text begins with a space
+        if parts.count("") > 1:
+            parts = ["", *(w[1:] for w in _WORD.findall(text))]
+        self.tail = " " + parts.pop()
+        words = iter(parts)
+        next(words)  # nothing stands before the first space
         out += map(self.pieces.words.__getitem__, words)
         if len(self.tail) > HELD:
             self.search, self.blank = StreamingViterbi(self.pieces), True
@@ -277,7 +278,7 @@ class TextStream:
     def finish(self) -> bytes:
         if self.search:
             return self._ended()
-        out, self.tail = self.pieces.words[self.tail], " "
+        out, self.tail = self.pieces.words[self.tail[1:]], " "
         return out
 
     def _long(self, text: str) -> bytes:
