@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,14 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(ratios)
 
 
+@lru_cache(maxsize=1 << 16)  # names often recur in other blocks
+def own_words_ratio(a: str, b: str) -> float:
+    """That of token_set_ratio's comparisons which the shared words don't decide: shared-plus-own words of both."""
+    x, y = set(a.split()), set(b.split())
+    shared = sorted(x & y)
+    return indel_ratio(" ".join(shared + sorted(x - y)), " ".join(shared + sorted(y - x)))
+
+
 class Names:
     """Word sets, joined forms and letter counts of names."""
 
@@ -78,10 +87,10 @@ def close_pairs(left: list[str], right: list[str], threshold: int) -> tuple[np.n
     vocabulary = {w: k for k, w in enumerate(sorted(common))}
     x, y = a.incidence(vocabulary), b.incidence(vocabulary)
     n = x @ y.T
-    width = (x * np.array([len(w) for w in vocabulary], dtype=np.float32)) @ y.T + n - 1
+    width = ((x * np.array([len(w) for w in vocabulary], dtype=np.float32)) @ y.T + n - 1).astype(np.float64)
     some = n > 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        held = np.where(some, 200 * np.maximum(width / (width + a.size[:, None]), width / (width + b.size[None, :])), 0)
+        held = np.where(some, np.maximum(200.0 * width / (width + a.size[:, None]), 200.0 * width / (width + b.size[None, :])), 0)
     whole = some & ((n == a.count[:, None]) | (n == b.count[None, :]))
     alphabet = {ch: k for k, ch in enumerate(sorted({ch for j in a.joined for ch in j} & {ch for j in b.joined for ch in j}))}
     p, q = a.letters(alphabet), b.letters(alphabet)
@@ -91,7 +100,7 @@ def close_pairs(left: list[str], right: list[str], threshold: int) -> tuple[np.n
     total = np.maximum(a.size[:, None] + b.size[None, :], 1)
     bound = np.where((a.count[:, None] > 0) & (b.count[None, :] > 0), 200.0 * bag / total, 0)
     i, j = np.nonzero(whole | (held >= least) | (bound >= least))
-    ratio = np.array([100 if whole[s, t] else round(token_set_ratio(a.joined[s], b.joined[t])) for s, t in zip(i, j)], dtype=np.int32)
+    ratio = np.array([100 if all_in else round(max(by_shared, own_words_ratio(a.joined[s], b.joined[t]))) for s, t, all_in, by_shared in zip(i.tolist(), j.tolist(), whole[i, j].tolist(), held[i, j].tolist())], dtype=np.int32)
     good = ratio >= threshold
     return i[good], j[good], ratio[good]
 

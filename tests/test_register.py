@@ -54,6 +54,31 @@ def test_fuzzy_matches_are_those_of_brute_force(spark, monkeypatch, settle):
     assert {r.provider_id: r.company_number for r in got.collect()} == brute(keyed, wanted)
 
 
+@pytest.mark.parametrize("one_task_rows", [1_000_000, 0])
+def test_copies_of_names_are_paired_as_classes(spark, monkeypatch, one_task_rows):
+    """Many members of few classes, companies and providers with several rows: the matches are those of brute force, the pairs those of classes."""
+    monkeypatch.setattr(matching, "BLOCK", 4)
+    rng = random.Random(4)
+    pool = names(rng, 25)
+    c = [(f"{k:08d}", rng.choice(pool), f"M{rng.randrange(4)} 1AE") for k in range(300)] + [("77777777", None, "M1 1AE"), (None, "oak", "M1 1AE")]
+    p = [(k, rng.choice(pool), [f"M{k % 3}"] if k % 5 else ["M3", "M1", "M3"]) for k in range(250)] + [(500, "oak", []), (501, None, ["M1"])]
+    companies, providers = spark.createDataFrame(c, "company_number string, company_name string, postcode string"), spark.createDataFrame(p, "provider_id bigint, provider_name string, postcode_prefixes_list array<string>")
+    keyed = [(r.company_number, r.k, r.o) for r in companies.select("company_number", name_key("company_name").alias("k"), outward_code("postcode").alias("o")).collect() if r.o and r.k and r.company_number]
+    wanted = [(r.provider_id, r.k, r.postcode_prefixes_list) for r in providers.select("provider_id", name_key("provider_name").alias("k"), "postcode_prefixes_list").collect() if r.k]
+    pairs, p_members, c_members = matching._class_pairs(companies, providers, matching.THRESHOLD)
+    assert pairs.count() * 3 < matching.candidate_pairs(companies, providers).count()
+    assert {r.provider_id: r.company_number for r in matching.settle(pairs, p_members, c_members, one_task_rows).collect()} == brute(keyed, wanted)
+
+
+def test_groups_of_linked_classes(spark):
+    """A chain of pairs is one group, however long; another pair is its own."""
+    rng = random.Random(6)
+    nodes = rng.sample(range(200), 40)
+    chain = [(2 * a, 2 * b + 1) for k in range(39) for a, b in [(nodes[k], nodes[k]), (nodes[k + 1], nodes[k])]]
+    found = {r.cls: r.comp for r in matching._groups(spark.createDataFrame(chain + [(1000, 1001)], "pc long, cc long")).collect()}
+    assert {found[x] for pair in chain for x in pair} == {min(min(pair) for pair in chain)} and found[1000] == found[1001] == 1000
+
+
 def test_quantiles_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(grouping, "SKETCH", 50)
     rng = np.random.default_rng(5)
