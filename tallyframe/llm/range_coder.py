@@ -25,6 +25,7 @@ SLOTS = 1024  # hashed contexts of order 1 and of order 2, each, in a block
 TOGETHER = 128  # blocks whose ids are put in order together
 SURE = 3  # highest certainty of a slot
 RATE = 4  # shift of the tables' moving averages
+CHUNK = 16  # ids of a block whose shares are put together at once; all RENEWALS are multiples
 EVERY = 8  # ids after which the mixing weights are renewed
 ONE = 1 << 12  # a table's chances add up to about this
 #: Ids before which order 0 is renewed from the block's ids so far.
@@ -49,20 +50,17 @@ class CorruptBlock(ValueError):
     """A block's ids don't have its checksum."""
 
 
-class _Mixer:
-    """Tables of all lanes.  `look` gives the candidates (id + 1, 0 for none) and the running sums of the four symbols' shares in 16-bit fields, `learn` takes what came."""
+class _Chances:
+    """The two tables of all lanes.  `shares` gives the running sums of the four symbols' shares in 16-bit fields, `came_true` takes which symbol came."""
 
     def __init__(self, lanes: int):
-        own = np.arange(lanes)
-        self.slot_0, self.row_0 = own * SLOTS, own * 16
-        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
+        self.row_0 = np.arange(lanes) * 16
         self.chances = [np.full(lanes * 16, _EVEN, dtype=_U) for _ in range(2)]
         self.came = [np.ones(lanes, dtype=_U) for _ in range(2)]  # chances that each table lately gave to what came
-        self.last = [np.zeros(lanes, dtype=np.uint32) for _ in range(2)]
-        self.before = np.zeros(lanes, dtype=np.int64)  # the two symbols before
         self.steps = 0
 
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shares(self, sure: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """`sure`: rows of the first table by how sure orders 2 and 1 are; `before`: rows of the second one by the two symbols before."""
         if self.steps % EVERY == 0:
             both = self.came[0] + self.came[1]
             self.weight = self.came[0] * _U(WEIGHTS) // both + _U(1)
@@ -71,22 +69,15 @@ class _Mixer:
                 c >>= _U(1)
                 c += _U(1)
         self.steps += 1
-        a, b = self.last
-        one = a * _HASH_1
-        two = (b * _HASH_2 ^ one) * _HASH_3
-        self.at = [self.slot_0 + (h >> _SHIFT) for h in (two, one)]
-        second, first = (s.take(k) for s, k in zip(self.slots, self.at))
-        self.ids = [second & _ID, first & _ID]
-        self.sure = [second >> 17, first >> 17]
-        self.rows = [self.row_0 + ((self.sure[0] << 2) + self.sure[1] * (self.ids[0] != self.ids[1])), self.row_0 + self.before]
+        self.rows = [self.row_0 + sure, self.row_0 + before]
         self.given = [c.take(r) for c, r in zip(self.chances, self.rows)]
         upto = self.given[0] * self.weight
         upto += self.given[1] * self.other
         upto *= _FIELDS
-        return *self.ids, upto
+        return upto
 
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        shift = symbol.astype(_U) << _U(4)
+    def came_true(self, shift: np.ndarray) -> None:
+        """`shift`: 16 times the symbol."""
         more = _U(ONE >> RATE) << shift
         for c, r, g, t in zip(self.chances, self.rows, self.given, self.came):
             t += g >> shift & _U(0xFFFF)
@@ -95,6 +86,27 @@ class _Mixer:
             g -= lost
             g += more
             c[r] = g
+
+
+class _Mixer:
+    """Contexts of all lanes, for decoding.  `look` gives the candidates (id + 1, 0 for none) and the running sums of the shares, `learn` takes what came."""
+
+    def __init__(self, lanes: int):
+        self.tables = _Chances(lanes)
+        self.slot_0 = np.arange(lanes) * SLOTS
+        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
+        self.last = [np.zeros(lanes, dtype=np.uint32) for _ in range(2)]
+        self.before = np.zeros(lanes, dtype=np.int64)  # the two symbols before
+
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.at = [self.slot_0 + h for h in _contexts(*self.last)]
+        second, first = (s.take(k) for s, k in zip(self.slots, self.at))
+        self.ids = [second & _ID, first & _ID]
+        self.sure = [second >> 17, first >> 17]
+        return *self.ids, self.tables.shares((self.sure[0] << 2) + self.sure[1] * (self.ids[0] != self.ids[1]), self.before)
+
+    def learn(self, symbol: np.ndarray, shift: np.ndarray, ids: np.ndarray) -> None:
+        self.tables.came_true(shift)
         came = (ids + 1).astype(np.int32)
         for s, k, held, sure in zip(self.slots, self.at, self.ids, self.sure):
             sure *= held == came
@@ -107,6 +119,55 @@ class _Mixer:
         self.before = (self.before & 3) << 2 | symbol
 
 
+def _contexts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of order 2 and order 1 after the ids b, a."""
+    one = a * _HASH_1
+    return (b * _HASH_2 ^ one) * _HASH_3 >> _SHIFT, one >> _SHIFT
+
+
+def _held(slot: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a _Mixer's slot holds when each id of (lanes, steps) comes: the id that came last in it + 1, 0 for none, and how sure it is (at most SURE, 3).
+
+    The ids of a slot are put beside each other: a slot is surer by one for each time in a row that an id came again.
+    """
+    lanes, steps = mine.shape
+    order = np.argsort(slot, axis=1, kind="stable")
+    order += (np.arange(lanes) * steps)[:, None]
+    order = order.reshape(-1)
+    slot, came = slot.reshape(-1).take(order).reshape(lanes, steps), mine.reshape(-1).take(order).reshape(lanes, steps)
+    same = slot[:, 1:] == slot[:, :-1]
+    again = same & (came[:, 1:] == came[:, :-1])
+    after = np.ones((lanes, steps), dtype=np.uint8)  # how sure a slot is once the id has come
+    after[:, 1:] += again
+    after[:, 2:] += again[:, 1:] & again[:, :-1]
+    held, sure = np.zeros((lanes, steps), dtype=np.int32), np.zeros((lanes, steps), dtype=np.uint8)
+    held[:, 1:] = (came[:, :-1] + np.int32(1)) * same
+    sure[:, 1:] = after[:, :-1] * same
+    ids, sures = np.empty(lanes * steps, dtype=np.int32), np.empty(lanes * steps, dtype=np.uint8)
+    ids[order], sures[order] = held.reshape(-1), sure.reshape(-1)
+    return ids.reshape(lanes, steps), sures.reshape(lanes, steps)
+
+
+def _symbols(mine: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id of (lanes, steps), turned: its symbol, and its rows in the two tables of chances; `share` is that of order 0, turned."""
+    lanes, steps = mine.shape
+    symbol, sure = np.empty((steps, lanes), dtype=np.uint8), np.empty((steps, lanes), dtype=np.uint8)
+    for a in range(0, lanes, TOGETHER):
+        own = mine[a : a + TOGETHER]
+        last = np.zeros((len(own), steps + 2), dtype=np.uint32)
+        last[:, 2:] = own
+        two, one = (h.astype(np.uint16) for h in _contexts(last[:, 1:-1], last[:, :-2]))
+        (second, sure_2), (first, sure_1) = _held(two, own), _held(one, own)
+        came = own + np.int32(1)
+        new = (share[:, a : a + TOGETHER] == 0).T
+        symbol[:, a : a + TOGETHER] = ((came != second) * (1 + (came != first) * (1 + new.astype(np.uint8)))).T
+        sure[:, a : a + TOGETHER] = ((sure_2 << 2) + sure_1 * (second != first)).T
+    before = np.zeros((steps, lanes), dtype=np.uint8)
+    before[1:] = symbol[:-1]
+    before[2:] += symbol[:-2] << 2
+    return symbol, sure, before
+
+
 def _order_0(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each id of (lanes, steps), turned: where its share of the counts at the last renewal begins, and the share; 0 where it has not come before that."""
     lanes, steps = mine.shape
@@ -148,7 +209,7 @@ class _Counts:
         place = np.arange(self.n, dtype=np.uint16)
         self.fields = np.empty((lanes, self.n), dtype=_U)
         for a in range(0, lanes, TOGETHER):
-            ordered = np.sort(ids[:, a : a + TOGETHER].T.astype(np.uint16), axis=1, kind="stable")
+            ordered = np.sort(np.ascontiguousarray(ids[:, a : a + TOGETHER].T), axis=1, kind="stable")
             begin, end = np.zeros(ordered.shape, dtype=np.uint16), np.full(ordered.shape, self.n, dtype=np.uint16)
             fresh = ordered[:, 1:] != ordered[:, :-1]
             begin[:, 1:] = fresh * place[1:]
@@ -194,8 +255,9 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for row, b in zip(mine, blocks):
         row[: len(b)] = b
     begin, share = _order_0(mine)
-    ids = np.ascontiguousarray(mine.T).astype(np.int32)
-    mixer, lane = _Mixer(lanes), np.arange(lanes)
+    symbols, sure, before = _symbols(mine, share)
+    ids = np.ascontiguousarray(mine.T)
+    tables, lane = _Chances(lanes), np.arange(lanes)
     low, span = np.zeros(lanes, dtype=_U), np.full(lanes, 2**64 - 1, dtype=_U)
     room = steps * 3 + 8  # an id takes 34 bits at most
     words = np.zeros((room, lanes), dtype=np.uint32)  # 16 bits of each, and carries that aren't added yet
@@ -217,41 +279,49 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         if live < lanes:
             off = slice(live, None)
             held = low[off].copy(), span[off].copy()
-        own = ids[t]
-        second, first, upto = mixer.look()
-        came = own + 1
-        new = share[t] == 0
-        symbol = (came != second) * (1 + (came != first) * (1 + new.astype(np.int64)))
-        shift = symbol.astype(_U) << _U(4)
-        below = (upto << _WORD) >> shift & _U(0xFFFF)
+        if t % CHUNK == 0:
+            part = slice(t, t + CHUNK)
+            symbol, own = symbols[part], ids[part]
+            shifts = symbol.astype(_U) << _U(4)
+            fresh, deeper = symbol == 3, symbol > 1
+            inner = np.where(fresh, _BEGIN.take(own), begin[part] * deeper)
+            wide = np.where(fresh, _WIDER.take(own) + _U(1), np.where(deeper, share[part], 1).astype(_U))
+            whole = np.array([1, 1, max(renewed, 1), _WHOLE], dtype=_U).take(symbol)
+        k = t % CHUNK
+        shift = shifts[k]
+        upto = tables.shares(sure[t], before[t])
+        below = upto << _WORD
+        below >>= shift
+        below &= _U(0xFFFF)
         step = span // (upto >> _U(48))
-        deeper = (symbol > 1).astype(_U)
-        span = ((upto >> shift & _U(0xFFFF)) - below) * step
         start = below * step
-        fresh = new.astype(_U)
-        known = _U(1) - fresh
-        inner = fresh * _BEGIN.take(own) + known * begin[t]
-        wider = fresh * _WIDER.take(own) + known * (share[t].astype(_U) - _U(1))
-        step = span // (deeper * (fresh * _U(_WHOLE - 1) + known * _U(max(renewed, 1) - 1)) + _U(1))
-        start += deeper * inner * step
-        span = (deeper * wider + _U(1)) * step
+        upto >>= shift
+        upto &= _U(0xFFFF)
+        upto -= below
+        step *= upto
+        span = step // whole[k]
+        start += inner[k] * span
+        span *= wide[k]
         if live < lanes:
             start[off] = 0
         move(start)
         if live < lanes:
             low[off], span[off] = held
-        while True:
-            small = (span < _LEAST).astype(_U)
-            if not small.any():
-                break
-            flat[at] = low >> _U(48)  # counts where the place moves on
-            at += small.astype(np.int64) * lanes
-            small <<= _U(4)
-            low <<= small
-            span <<= small
-        mixer.learn(symbol, own)
+        small = span < _LEAST
+        flat[at] = low >> _U(48)  # counts where the place moves on
+        at += small * np.int64(lanes)
+        bits = small.astype(_U) << _U(4)
+        low <<= bits
+        span <<= bits
+        while len(more := np.flatnonzero(span < _LEAST)):  # few need a second word
+            flat[at[more]] = low[more] >> _U(48)
+            at[more] += lanes
+            low[more] <<= _WORD
+            span[more] <<= _WORD
+        tables.came_true(shift)
     move(np.full(lanes, (1 << 48) - 1, dtype=_U))  # one word more is enough: the span holds a multiple of 2**48
     flat[at] = low >> _U(48)
+    words = words[: int(at.max()) // lanes + 1]
     while (over := words >> 16).any():
         words &= np.uint32(0xFFFF)
         words[:-1] += over[1:]
@@ -281,7 +351,7 @@ def _decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         code = (code << _WORD) | words[at]
         at += lanes
     span = np.full(lanes, 2**64 - 1, dtype=_U)
-    ids = np.zeros((steps, lanes), dtype=np.int64)
+    ids = np.zeros((steps, lanes), dtype=np.uint16)
     counts = None
     for t in range(steps):
         if t in RENEWALS:
@@ -297,33 +367,40 @@ def _decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         below = (upto << _WORD) >> shift & _U(0xFFFF)
         code -= below * step
         span = ((upto >> shift & _U(0xFFFF)) - below) * step
-        own = (first + (symbol == 0) * (second - first)).astype(np.int64) - 1
-        which = np.flatnonzero(symbol > 1)
-        escaped = symbol[which] == 3
-        whole = np.where(escaped, _slope[-1], counts.n if counts else 1).astype(_U)
-        step = span[which] // whole
-        value = np.minimum(code[which] // step, whole - _U(1)).astype(np.int64)
-        found = _AT.take(value * escaped)
-        inner, outer = _slope.take(found), _slope.take(found + 1)
-        if counts:
-            known = np.flatnonzero(~escaped)
-            found[known], inner[known], outer[known] = counts.find(which[known], value[known])
-        own[which] = found
-        code[which] -= inner.astype(_U) * step
-        span[which] = (outer - inner).astype(_U) * step
+        own = np.where(symbol == 0, second, first).astype(np.int64) - 1
+        which = np.flatnonzero(symbol == 2)
+        if len(which):
+            inside = span.take(which) // _U(counts.n if counts else 1)
+            value = np.minimum(code.take(which) // inside, _U((counts.n if counts else 1) - 1)).astype(np.int64)
+            found, inner, outer = counts.find(which, value) if counts else (0 * value, 0 * value, 0 * value + 1)
+            own[which] = found
+            code[which] -= inner.astype(_U) * inside
+            span[which] = (outer - inner).astype(_U) * inside
+        which = np.flatnonzero(symbol == 3)
+        if len(which):
+            inside = span.take(which) // _U(_WHOLE)
+            found = _AT.take(np.minimum(code.take(which) // inside, _U(_WHOLE - 1)).astype(np.int64))
+            own[which] = found
+            code[which] -= _BEGIN.take(found) * inside
+            span[which] = (_WIDER.take(found) + _U(1)) * inside
         np.maximum(own, 0, out=own)  # only past the end of a shorter block
-        for _ in range(3):
-            small = (span < _LEAST).astype(_U)
-            if not small.any():
+        small = span < _LEAST
+        bits = small.astype(_U) << _U(4)
+        code <<= bits
+        code |= words.take(at, mode="clip") * small
+        at += small * np.int64(lanes)
+        span <<= bits
+        for _ in range(2):  # few need a second word
+            more = np.flatnonzero(span < _LEAST)
+            if not len(more):
                 break
-            bits = small << _U(4)
-            code = code << bits | words.take(at, mode="clip") * small
-            at += small.astype(np.int64) * lanes
-            span <<= bits
+            code[more] = code[more] << _WORD | words.take(at[more], mode="clip")
+            at[more] += lanes
+            span[more] <<= _WORD
         np.maximum(span, _LEAST, out=span)  # as above: a span of a coded id is never less
         ids[t] = own
-        mixer.learn(symbol, own)
-    flat = np.ascontiguousarray(ids.T.astype(np.uint16))
+        mixer.learn(symbol, shift, own)
+    flat = np.ascontiguousarray(ids.T)
     return [row[:n] for row, n in zip(flat, sizes)]
 
 

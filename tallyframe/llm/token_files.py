@@ -24,10 +24,12 @@ from .range_coder import BLOCK, LANES, MAX_ID, checked, decode_blocks, encode_bl
 from .vectext import IS_SPACE, buffers, slices_of
 
 END_ID = 0
-MEMO_WORDS, SLICE_BYTES = 1_000_000, 8 << 20  # known words of a task, bytes of text coded together
+MEMO_WORDS, SLICE_BYTES = 2_000_000, 8 << 20  # known words of a task, bytes of text coded together
 JOINED = 256  # words in a text for the library
 FILE_SCHEMA = "shard int, block int, base long, n_ids int, crc32 long, payload binary, open_start long, first_start long, doc_ids array<long>, doc_lens array<long>"
 _FRAGMENTS = "shard int, start_in_shard long, doc_id long, begins boolean, pos long, n long, crc long"
+_DIGIT = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_INVERSE = pow(_DIGIT, -1, 1 << 64)
 _tokenizers: dict = {}
 _coders: dict = {}
 
@@ -59,6 +61,20 @@ def _word_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return cuts[np.append(True, cuts[1:] != cuts[:-1])]
 
 
+def _digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number of 64 bits of each word: its bytes as digits, modulo 2**64, from the differences of sums over all words."""
+    first, last = int(offsets[0]), int(offsets[-1])
+    powers, inverse = np.full(last - first + 1, _DIGIT, dtype=np.uint64), np.full(last - first + 1, _INVERSE, dtype=np.uint64)
+    powers[0] = inverse[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(inverse, out=inverse)
+    powers[1:] = (data[first:last] + np.uint64(1)) * powers[:-1]
+    powers[0] = 0
+    np.cumsum(powers, out=powers)
+    at = np.asarray(offsets) - first
+    return (powers[at[1:]] - powers[at[:-1]]) * inverse[at[:-1]]
+
+
 class WordCoder:
     """Ids of whole texts by the library, each distinct word once; the table of known words starts anew when it is full."""
 
@@ -75,9 +91,10 @@ class WordCoder:
         self.known = pa.array([], pa.large_string())
         self.ids = np.array([END_ID], dtype=np.uint16)
         self.ends = np.array([1])  # of the words' ids; the end id is word 0
+        self.digests, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known words, in order of the digest
 
-    def _learn(self, words: pa.LargeStringArray) -> None:
-        """Code new words: those that start with white space and end with none many in a text, whose ids are cut at the words' lengths, others alone."""
+    def _learn(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Where each new word stands behind the known ones.  Code them: those that start with white space and end with none many in a text, whose ids are cut at the words' lengths, others alone."""
         data, offsets = buffers(words)
         joins = IS_SPACE[data[offsets[:-1]]] & ~_ends_in_space(data, offsets[1:])
         first, other = words.filter(pa.array(joins)), words.filter(pa.array(~joins))
@@ -93,6 +110,30 @@ class WordCoder:
         self.known = pa.concat_arrays([self.known, first, other])
         self.ends = np.concatenate([self.ends, len(self.ids) + ends, len(self.ids) + len(ids) + np.cumsum([len(x) for x in alone], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, ids, *alone])
+        place = np.empty(len(words), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])] = np.arange(len(words))
+        return place
+
+    def _numbers(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Number of each distinct word among the known ones; new ones are learnt.  Words are looked up by digest, then compared as they are."""
+        digests = _digests(*buffers(words))
+        order = np.argsort(digests)
+        at = np.empty(len(words), dtype=np.int64)
+        at[order] = np.searchsorted(self.digests, digests[order])
+        hit = np.flatnonzero(np.append(self.digests, np.uint64(0))[at] == digests) if len(self.digests) else np.zeros(0, np.int64)
+        hit = hit[at[hit] < len(self.digests)]
+        number = np.full(len(words), -1)
+        number[hit] = self.numbers[at[hit]]
+        if not pc.all(pc.equal(words.take(pa.array(hit)), self.known.take(pa.array(number[hit])))).as_py() and len(hit):  # two words have one digest
+            number = pc.index_in(words, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            before = len(self.known)
+            number[new] = before + self._learn(words.take(pa.array(new)))
+            fresh = new[np.argsort(digests[new])]
+            at = np.searchsorted(self.digests, digests[fresh])
+            self.digests, self.numbers = np.insert(self.digests, at, digests[fresh]), np.insert(self.numbers, at, number[fresh])
+        return number
 
     def _coded(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -107,10 +148,7 @@ class WordCoder:
         words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         if len(self.known) > MEMO_WORDS:
             self._empty()
-        new = words.dictionary.filter(pc.invert(pc.is_in(words.dictionary, self.known)))
-        if len(new):
-            self._learn(new)
-        at = pc.index_in(words.dictionary, self.known).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        at = self._numbers(words.dictionary) + 1
         upto = np.searchsorted(cuts, offsets[1:])  # words of the texts up to each one's end
         which = np.insert(at[words.indices.to_numpy()], upto, 0)
         end = self.ends[which]

@@ -179,3 +179,37 @@ def test_kernel_is_the_gapped_one():
             if a:
                 got[a] = got.get(a, 0) + b
         assert np.allclose(sorted(got.values()), sorted(features(w).values()), atol=1e-5)
+
+
+def test_words_of_one_digest_keep_their_own_ids(monkeypatch):
+    """Known words are looked up by digest; words that share one are told apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyframe.llm import token_files
+    from tallyframe.llm.q_token_files import tokenizer_path
+
+    library = token_files.load_tokenizer(tokenizer_path())
+    rounds = [["oak elm ash oak", "a b c d", ""], ["elm birch, ash\n\nfir", None, "d c oak\u2003yew"], ["oak elm ash"]]
+    digests = token_files._digests
+    for few in (0, 3):
+        monkeypatch.setattr(token_files, "_digests", (lambda *a: digests(*a) % np.uint64(few)) if few else digests)
+        coder = token_files.WordCoder(tokenizer_path())
+        for texts in rounds:
+            ids, counts = coder.texts(pa.array(texts, pa.string()))
+            want = [library.encode(x or "", add_special_tokens=False).ids + [token_files.END_ID] for x in texts]
+            assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_payload_of_blocks_is_fixed():
+    """Files written by earlier versions are read and written alike; blocks of one call have different lengths."""
+    import zlib
+
+    import numpy as np
+
+    from tallyframe.llm.range_coder import decode_blocks, encode_blocks
+
+    blocks = [(np.arange(n, dtype=np.int64) ** 2 * 40503 // 7 % m).astype(np.uint16) for n, m in [(0, 1), (1, 9), (2048, 300), (700, 65536), (1500, 5), (49, 2), (2047, 40000)]]
+    payloads = encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(decode_blocks(payloads, [len(b) for b in blocks]), blocks))
+    assert zlib.crc32(b"".join(payloads)) == 0xa50327aa
